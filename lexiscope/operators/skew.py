@@ -56,27 +56,45 @@ def plan_shards(loads: DataFrame, tasks: int) -> ShardPlan:
     return ShardPlan(tasks, fair, shards, task)
 
 
-def _lookup(spark, mapping: dict, key: Column, default: Column) -> Column:
+def _key(key: str) -> Column:
+    return F.coalesce(F.col(key), F.lit(""))
+
+
+def _lookup(mapping: dict, key: Column, default: Column) -> Column:
     if not mapping:
         return default
     pairs = [x for k, v in sorted(mapping.items()) for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
 
 
+def _slots(spark, tasks: int) -> list[int]:
+    """For each task an integer that Spark's hash partitioning sends to it, so that a packed placement survives a shuffle."""
+    ids = spark.range(tasks * 40 + 1000).select(F.col("id").cast("int").alias("id"))
+    rows = ids.groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("t")).agg(F.min("id").alias("id")).collect()
+    return [i for _, i in sorted(map(tuple, rows))]
+
+
 def shard_facts(facts: DataFrame, key: str, within: list[str], plan: ShardPlan) -> DataFrame:
-    """``facts`` with ``_shard`` and spread over the plan's tasks. ``within`` decides the shard: equal values stay together."""
-    spark = facts.sparkSession
-    k = F.coalesce(F.col(key), F.lit(""))
-    n = _lookup(spark, plan.shards, k, F.lit(1))
-    out = facts.withColumn("_shard", F.pmod(F.xxhash64(*within), n).cast("int"))
-    packed = {f"{i}\x1f{name}": t for (name, i), t in plan.task.items()}
-    where = F.concat(F.col("_shard").cast("string"), F.lit("\x1f"), k)
-    return out.repartitionById(plan.tasks, _lookup(spark, packed, where, F.pmod(F.xxhash64(k), F.lit(plan.tasks)).cast("int")).cast("int"))
+    """``facts`` with ``_shard``. ``within`` decides the shard: rows with equal values in it stay together."""
+    n = _lookup(plan.shards, _key(key), F.lit(1))
+    return facts.withColumn("_shard", F.pmod(F.xxhash64(*within), n).cast("int"))
+
+
+def place(sharded: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
+    """``sharded`` with ``_slot``, one shuffle: planned (key, shard) pairs on their task, the tail by hash.
+
+    Groupings that include ``_slot`` need no further exchange.
+    """
+    slots = _slots(sharded.sparkSession, plan.tasks)
+    packed = {f"{i}\x1f{name}": slots[t] for (name, i), t in plan.task.items()}
+    where = F.concat(F.col("_shard").cast("string"), F.lit("\x1f"), _key(key))
+    tail = F.element_at(F.array(*[F.lit(s) for s in slots]), F.pmod(F.xxhash64(_key(key)), F.lit(plan.tasks)).cast("int") + 1)
+    return sharded.withColumn("_slot", _lookup(packed, where, tail)).repartition(plan.tasks, "_slot")
 
 
 def replicate(side: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
     """``side`` with ``_shard``: rows of a large key once for each of its shards, all other rows once."""
-    n = _lookup(side.sparkSession, plan.shards, F.coalesce(F.col(key), F.lit("")), F.lit(1))
+    n = _lookup(plan.shards, _key(key), F.lit(1))
     return side.withColumn("_shard", F.explode(F.sequence(F.lit(0), n - 1)))
 
 
@@ -90,35 +108,27 @@ def key_profile(facts: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
 
     Columns: key_value, n_rows, n_artifacts, n_removed, mean_days, max_days, median_days. An artifact is the pair
     (artifact_type, artifact_id). Days of observed removals only; null where a key has none. Each task first reduces its
-    own shard to one row per (key, shard, days); only those rows are shuffled again.
+    own shard to one row per (key, shard).
     """
     days = F.when(F.col("is_censored") == 0, F.col("time_to_event_days"))
     base = facts.select(key, "artifact_type", "artifact_id", days.alias("days"))
-    sharded = shard_facts(base, key, ["artifact_type", "artifact_id"], plan)
-    artifact = F.struct("artifact_type", "artifact_id")
-    # rows of one artifact share a shard, hence this distinct needs no look at other shards
-    per_artifact = sharded.groupBy(key, "_shard", artifact.alias("artifact"), "days").agg(F.count(F.lit(1)).alias("n"))
-    first = F.row_number().over(_window(key, "_shard", "artifact"))
-    per_days = (
-        per_artifact.withColumn("is_first", (first == 1).cast("long"))
-        .groupBy(key, "_shard", "days").agg(F.sum("n").alias("n"), F.sum("is_first").alias("artifacts"))
-        .groupBy(key, "days").agg(F.sum("n").alias("n"), F.sum("artifacts").alias("artifacts"))
+    # combined map-side first, so that a much repeated artifact is one row; its rows share a shard, hence shard counts add up
+    pairs = shard_facts(base, key, ["artifact_type", "artifact_id"], plan).select(key, "_shard", "artifact_type", "artifact_id").distinct()
+    artifacts = (
+        place(pairs, key, plan).groupBy("_slot", key, "_shard").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col(key).alias("key_value")).agg(F.sum("n").alias("n_artifacts"))
     )
+    per_days = base.groupBy(key, "days").agg(F.count(F.lit(1)).alias("n"))
     with_days = F.col("days").isNotNull()
-    return per_days.groupBy(F.col(key).alias("key_value")).agg(
+    profile = per_days.groupBy(F.col(key).alias("key_value")).agg(
         F.sum("n").alias("n_rows"),
-        F.sum("artifacts").alias("n_artifacts"),
         F.coalesce(F.sum(F.when(with_days, F.col("n"))), F.lit(0)).alias("n_removed"),
         (F.sum(F.col("days") * F.col("n")) / F.sum(F.when(with_days, F.col("n")))).alias("mean_days"),
         F.max("days").alias("max_days"),
         F.percentile("days", F.lit(0.5), F.when(with_days, F.col("n")).otherwise(F.lit(0))).alias("median_days"),
     )
-
-
-def _window(*keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(F.col("days").asc_nulls_first())
+    both = profile.alias("p").join(artifacts.alias("a"), F.col("p.key_value").eqNullSafe(F.col("a.key_value")))
+    return both.select("p.key_value", "n_rows", "n_artifacts", "n_removed", "mean_days", "max_days", "median_days")
 
 
 def tasks_for(df: DataFrame) -> int:
