@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import handwritten, packing, repetition, tokenize
+from lexiscope.llm import handwritten, packing, repetition, tokenize, truncation
 from lexiscope.plans.registry import Query
 from lexiscope.sources.tables import load
 
@@ -64,3 +64,14 @@ def p1_files(spark, root):
 def p1_hand_written(spark, root):
     kept = handwritten.hand_written(load(spark, root, "occurrences"))
     return kept.select("repo_full_name", "artifact_type", "artifact_id", "matched_expression", "body_text")
+
+
+@query("p3_found")
+def p3_found(spark, root):
+    cut = truncation.detect(load(spark, root, "occurrences")).where("is_cut")
+    return cut.select("repo_full_name", "artifact_type", "artifact_id", "matched_expression").distinct()
+
+
+@query("p3_rates")
+def p3_rates(spark, root):
+    return truncation.cut_rates(truncation.detect(load(spark, root, "occurrences")))
