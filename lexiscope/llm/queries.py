@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import handwritten, packing, repetition, tokenize, truncation
+from lexiscope.llm import handwritten, packing, repetition, splits, tokenize, truncation
 from lexiscope.plans.registry import Query
 from lexiscope.sources.tables import load
 
@@ -75,3 +75,22 @@ def p3_found(spark, root):
 @query("p3_rates")
 def p3_rates(spark, root):
     return truncation.cut_rates(truncation.detect(load(spark, root, "occurrences")))
+
+
+@query("p7_found")
+def p7_found(spark, root):
+    return splits.same_repository(load(spark, root, "occurrences"), load(spark, root, "repos"))
+
+
+@query("p7_assignment")
+def p7_assignment(spark, root):
+    return splits.assign(load(spark, root, "occurrences"), load(spark, root, "repos"), load(spark, root, "split_shares"))
+
+
+@query("p7_shares")
+def p7_shares(spark, root):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = p7_assignment(spark, root).groupBy("split_name").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_repositories"))
+    return rows.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
