@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import handwritten, packing, repetition, splits, tokenize, truncation
+from pyspark.sql import functions as F
+
+from lexiscope.llm import consensus, handwritten, packing, quota_sample, repetition, splits, tokenize, truncation
 from lexiscope.plans.registry import Query
 from lexiscope.sources.tables import load
 
@@ -90,7 +92,52 @@ def p7_assignment(spark, root):
 @query("p7_shares")
 def p7_shares(spark, root):
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     rows = p7_assignment(spark, root).groupBy("split_name").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_repositories"))
     return rows.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
+
+
+def _messages(spark, root):
+    return consensus.pass_messages(consensus.vote_edges(load(spark, root, "nao_unanimes"), load(spark, root, "annotations_long")))
+
+
+@query("p5_found")
+def p5_found(spark, root):
+    return consensus.wrong_gold(load(spark, root, "nao_unanimes"), consensus.item_labels(_messages(spark, root)))
+
+
+@query("p5_items")
+def p5_items(spark, root):
+    return consensus.item_labels(_messages(spark, root))
+
+
+@query("p5_annotators")
+def p5_annotators(spark, root):
+    return consensus.annotator_reliability(_messages(spark, root))
+
+
+P2_REPORT_SQL = """
+WITH k AS (SELECT DISTINCT repo_full_name, lower(trim(artifact_type)) AS artifact_type, artifact_id, lower(trim(matched_expression)) AS matched_expression FROM occurrences),
+s AS (SELECT count(*) // 10 AS s FROM k),
+h AS (SELECT artifact_type, matched_expression, count(*) AS available FROM k GROUP BY ALL),
+r AS (SELECT t.artifact_type, t.matched_expression, t.target_share, t.min_rows, coalesce(h.available, 0) AS available,
+             greatest(t.min_rows, CAST(ceil(t.target_share * s.s) AS BIGINT)) AS wanted
+      FROM sampling_targets t CROSS JOIN s LEFT JOIN h USING (artifact_type, matched_expression))
+"""
+
+
+@query("p2_found", P2_REPORT_SQL + "SELECT artifact_type, matched_expression FROM r WHERE available < wanted")
+def p2_found(spark, root):
+    return p2_report(spark, root).where(~F.col("is_met")).select("artifact_type", "matched_expression")
+
+
+@query("p2_report", P2_REPORT_SQL + """
+SELECT artifact_type, matched_expression, target_share, min_rows, available, wanted, least(available, wanted) AS drawn,
+       least(available, wanted) - wanted AS residual, available >= wanted AS is_met FROM r""")
+def p2_report(spark, root):
+    return quota_sample.draw(load(spark, root, "occurrences"), load(spark, root, "sampling_targets"))[1]
+
+
+@query("p2_sample")
+def p2_sample(spark, root):
+    return quota_sample.draw(load(spark, root, "occurrences"), load(spark, root, "sampling_targets"))[0]
