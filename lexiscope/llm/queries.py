@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiscope.llm import consensus, handwritten, packing, quota_sample, repetition, splits, tokenize, truncation
+from lexiscope.llm import consensus, handwritten, packing, pii, quota_sample, repetition, splits, tokenize, truncation
 from lexiscope.plans.registry import Query
 from lexiscope.sources.tables import load
 
@@ -141,3 +141,18 @@ def p2_report(spark, root):
 @query("p2_sample")
 def p2_sample(spark, root):
     return quota_sample.draw(load(spark, root, "occurrences"), load(spark, root, "sampling_targets"))[0]
+
+
+RECORD = ["repo_full_name", "artifact_type", "artifact_id", "matched_expression"]
+
+
+@query("p6_found")
+def p6_found(spark, root):
+    occurrences = load(spark, root, "occurrences")
+    return pii.found_types(occurrences, pii.fit(occurrences), RECORD)
+
+
+@query("p6_masked")
+def p6_masked(spark, root):
+    occurrences = load(spark, root, "occurrences")
+    return pii.masked_table(occurrences.select(*RECORD, "author_name", "body_text"), pii.fit(occurrences))

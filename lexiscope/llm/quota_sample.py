@@ -29,6 +29,7 @@ from lexiscope.session import cut_lineage
 FRACTION = 10
 BUCKET_UNITS = 50_000
 FAN_IN = 64
+MAX_BROADCAST = 10_000
 EPS = 1e-9
 KEY = ["repo_full_name", "artifact_type", "artifact_id", "matched_expression"]
 CATEGORY = ["artifact_type", "matched_expression"]
@@ -97,7 +98,10 @@ def draw(occurrences: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[Dat
     keys = cut_lineage(units(occurrences))
     demand = cut_lineage(demands(keys, targets))
     buckets = max(1, math.ceil(keys.count() / BUCKET_UNITS))
-    with_pi = keys.join(demand.select(*CATEGORY, "pi"), CATEGORY).select(*KEY, "pi")
+    wanted = demand.select(*CATEGORY, "pi")
+    if demand.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    with_pi = keys.join(wanted, CATEGORY).select(*KEY, "pi")
     sure = with_pi.where(F.col("pi") >= 1 - EPS).select(*KEY)
     flying = with_pi.where((F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)).withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
     drawn, level = [sure], 0
