@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from lexiscope.session import cut_lineage
 
-MAX_ROUNDS = 25
-TOLERANCE = 1e-3
+MAX_ROUNDS = 40
+TOLERANCE = 5e-4
+START_SLOPE = 12.0
 PRIOR_RIGHT, PRIOR_WRONG = 3.0, 1.0
 
 
@@ -56,7 +57,8 @@ def _rates(own: float = 1.0):
 def pass_messages(edges: DataFrame) -> DataFrame:
     """Edges with p (item true by the other votes), llr (the vote's weight) and total (the item's log-odds)."""
     by_item = edges.groupBy("item_id").agg(F.sum(F.col("vote").cast("double")).alias("yes"), F.count(F.lit(1)).alias("n"))
-    start = (F.col("yes") - F.col("vote").cast("double") + 0.5) / F.col("n")
+    others = (F.col("yes") - F.col("vote").cast("double") + 0.5) / F.col("n")
+    start = 1 / (1 + F.exp(-START_SLOPE * (others - 0.5)))  # a sharp start: from a flat one the rounds would creep
     messages = cut_lineage(edges.join(by_item, "item_id").select("item_id", "annotator", "vote", start.alias("p")))
     for _ in range(MAX_ROUNDS):
         sums = _annotator_sums(messages)

@@ -80,10 +80,10 @@ def text_evidence(text: Column) -> Column:
     blanks = lambda l: F.length(l) - F.length(F.translate(l, " \t", ""))
     brackets = lambda l: F.length(l) - F.length(F.translate(l, "(){}[];,", ""))
     minified = F.exists(long_lines, lambda l: (blanks(l) < 0.07 * F.length(l)) & (brackets(l) > 0.1 * F.length(l)))
-    bare = F.regexp_replace(text, r"(?m)^\s*(//|#|/\*|\*|--).*$", "")
-    bare = F.regexp_replace(bare, r"\s+", "")
-    rest = F.regexp_replace(bare, r"(0[xX][0-9a-fA-F]+|[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?),|[\"'][^\"'\s]{60,}[\"'],?", "")
-    data = (F.length(bare) >= 80) & (F.length(rest) <= 0.3 * F.length(bare))
+    code = F.regexp_replace(text, r"(?m)^\s*(//|#|/\*|\*|--).*$", "")
+    rest = F.regexp_replace(code, r"(0[xX][0-9a-fA-F]+|[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?),|[\"'][^\"'\s]{60,}[\"'],?", "")
+    solid = lambda c: F.length(F.translate(c, " \t\r\n", ""))
+    data = (solid(code) >= 80) & (solid(rest) <= 0.3 * solid(code))
     return F.when(text.rlike(GENERATED_MARK), "generated").when(minified, "minified").when(data, "data")
 
 
