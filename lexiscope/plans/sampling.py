@@ -9,6 +9,7 @@ from lexiscope.operators import sampling as P
 from lexiscope.plans.agreement import resolved
 from lexiscope.plans.registry import query
 from lexiscope.plans.texts import K, KEY, KIND, NEAR_MISS, kind, near_miss_flags, occ
+from lexiscope.session import cut_lineage
 from lexiscope.sources.tables import load
 
 SEED = 42
@@ -52,37 +53,42 @@ def smp_watchlist(spark, root):
     return P.first_per_group(u.join(rare, "e", "left_semi"), ["e"], KEY, SEED, 30).select(*KEY)
 
 
+def frame(spark, root):
+    """What the pools need of each record, without its text, written once: each pool depends on what the earlier ones took."""
+    u = units(spark, root).withColumn("flags", near_miss_flags("body")).withColumn("e", F.lower(F.trim("matched_expression")))
+    return cut_lineage(u.drop("body"))
+
+
 def near_miss_pool(pool, n_target=120):
-    """For each pattern its quota, each record taken by the first pattern that reaches it, then the rest by order."""
+    """For each pattern its quota, each record taken by the first pattern that reaches it."""
     per = max(1, n_target // len(NEAR_MISS))
-    flagged = pool.withColumn("flags", near_miss_flags("body")).where(F.size("flags") > 0).select(*KEY, "flags")
+    flagged = cut_lineage(pool.where(F.size("flags") > 0).select(*KEY, "flags"))
     taken = None
     for name in NEAR_MISS:
         left = flagged.where(F.array_contains("flags", name))
         if taken is not None:
             left = left.join(taken, KEY, "left_anti")
         new = P.first_rows(left, KEY, SEED, per).select(*KEY)
-        taken = new if taken is None else taken.unionByName(new)
+        taken = cut_lineage(new if taken is None else taken.unionByName(new))
     return taken
 
 
 @query("smp_near_miss")
 def smp_near_miss(spark, root):
-    return near_miss_pool(units(spark, root))
+    return near_miss_pool(frame(spark, root))
 
 
 @query("smp_pools_v2")
 def smp_pools_v2(spark, root):
     """Disjoint pools in order: calibration, watch, near miss, main; a record belongs to the first that drew it."""
-    u = units(spark, root).where("kind <> 'issue_body'")
-    calibration = P.stratified(u, "kind", KEY, 200, SEED).select(*KEY, F.lit("calibration").alias("pool"))
-    rest = u.join(calibration, KEY, "left_anti").withColumn("e", F.lower(F.trim("matched_expression")))
+    u = frame(spark, root).where("kind <> 'issue_body'")
+    calibration = cut_lineage(P.stratified(u, "kind", KEY, 200, SEED).select(*KEY, F.lit("calibration").alias("pool")))
+    rest = u.join(calibration, KEY, "left_anti")
     rare = rest.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n < 50").select("e")
-    watch = P.first_per_group(rest.join(rare, "e", "left_semi"), ["e"], KEY, SEED, 30).select(*KEY, F.lit("watch").alias("pool"))
-    rest = rest.join(watch, KEY, "left_anti")
+    watch = cut_lineage(P.first_per_group(rest.join(rare, "e", "left_semi"), ["e"], KEY, SEED, 30).select(*KEY, F.lit("watch").alias("pool")))
+    rest = cut_lineage(rest.join(watch, KEY, "left_anti"))
     near = near_miss_pool(rest, 60).withColumn("pool", F.lit("near_miss"))
-    rest = rest.join(near, KEY, "left_anti")
-    main = P.stratified(rest, "kind", KEY, 385, SEED).select(*KEY, F.lit("main").alias("pool"))
+    main = P.stratified(rest.join(near, KEY, "left_anti"), "kind", KEY, 385, SEED).select(*KEY, F.lit("main").alias("pool"))
     return calibration.unionByName(watch).unionByName(near).unionByName(main)
 
 
