@@ -60,11 +60,13 @@ def _key(key: str) -> Column:
     return F.coalesce(F.col(key), F.lit(""))
 
 
-def _lookup(mapping: dict, key: Column, default: Column) -> Column:
+def _look_up(df: DataFrame, mapping: dict, by: Column, default: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the mapping's value, or the default. A plan has at most ``PLAN_FRACTION`` entries a task, hence the broadcast."""
     if not mapping:
-        return default
-    pairs = [x for k, v in sorted(mapping.items()) for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
+        return df.withColumn(name, default)
+    plan = df.sparkSession.createDataFrame(sorted(mapping.items()), "_plan_key string, _plan_value int")
+    joined = df.withColumn("_plan_by", by).join(F.broadcast(plan), F.col("_plan_by") == F.col("_plan_key"), "left")
+    return joined.withColumn(name, F.coalesce("_plan_value", default)).drop("_plan_by", "_plan_key", "_plan_value")
 
 
 def _slots(spark, tasks: int) -> list[int]:
@@ -76,8 +78,8 @@ def _slots(spark, tasks: int) -> list[int]:
 
 def shard_facts(facts: DataFrame, key: str, within: list[str], plan: ShardPlan) -> DataFrame:
     """``facts`` with ``_shard``. ``within`` decides the shard: rows with equal values in it stay together."""
-    n = _lookup(plan.shards, _key(key), F.lit(1))
-    return facts.withColumn("_shard", F.pmod(F.xxhash64(*within), n).cast("int"))
+    known = _look_up(facts, plan.shards, _key(key), F.lit(1), "_shards")
+    return known.withColumn("_shard", F.pmod(F.xxhash64(*within), F.col("_shards")).cast("int")).drop("_shards")
 
 
 def place(sharded: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
@@ -89,13 +91,13 @@ def place(sharded: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
     packed = {f"{i}\x1f{name}": slots[t] for (name, i), t in plan.task.items()}
     where = F.concat(F.col("_shard").cast("string"), F.lit("\x1f"), _key(key))
     tail = F.element_at(F.array(*[F.lit(s) for s in slots]), F.pmod(F.xxhash64(_key(key)), F.lit(plan.tasks)).cast("int") + 1)
-    return sharded.withColumn("_slot", _lookup(packed, where, tail)).repartition(plan.tasks, "_slot")
+    return _look_up(sharded, packed, where, tail, "_slot").repartition(plan.tasks, "_slot")
 
 
 def replicate(side: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
     """``side`` with ``_shard``: rows of a large key once for each of its shards, all other rows once."""
-    n = _lookup(plan.shards, _key(key), F.lit(1))
-    return side.withColumn("_shard", F.explode(F.sequence(F.lit(0), n - 1)))
+    known = _look_up(side, plan.shards, _key(key), F.lit(1), "_shards")
+    return known.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))).drop("_shards")
 
 
 def balanced_join(facts: DataFrame, side: DataFrame, key: str, within: list[str], plan: ShardPlan, how: str = "left") -> DataFrame:
