@@ -29,6 +29,7 @@ from lexiscope.session import cut_lineage
 FRACTION = 10
 BUCKET_UNITS = 50_000
 FAN_IN = 64
+MAX_TASKS = 4096
 MAX_BROADCAST = 10_000
 EPS = 1e-9
 KEY = ["repo_full_name", "artifact_type", "artifact_id", "matched_expression"]
@@ -107,7 +108,7 @@ def draw(occurrences: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[Dat
     drawn, level = [sure], 0
     while True:
         landing = buckets == 1
-        flown = cut_lineage(flying.groupBy("bucket").applyInPandas(_fly_bucket(seed, level, landing), UNIT))
+        flown = cut_lineage(flying.repartition(min(MAX_TASKS, buckets), "bucket").groupBy("bucket").applyInPandas(_fly_bucket(seed, level, landing), UNIT))
         drawn.append(flown.where(F.col("pi") == 1.0).select(*KEY))
         if landing:
             break
