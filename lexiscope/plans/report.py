@@ -338,3 +338,21 @@ def smp_removal_audit(spark, root):
     rows = code(spark, root).where("is_censored = 0").select(*KEY)
     first = rows.groupBy("repo_full_name").agg(F.min(F.struct(F.md5(F.concat_ws("|", "artifact_id", "matched_expression")), "artifact_id", "matched_expression", "artifact_type")).alias("r"))
     return first.orderBy(F.md5("repo_full_name"), "repo_full_name").limit(50).select("repo_full_name", "r.artifact_type", "r.artifact_id", "r.matched_expression")
+
+
+LONG_AUDIT = ["1.1", "1.2", "1.3", "1.4", "1.5", "1.6", "4.1", "4.2"]
+
+
+def _severity_sql(n):
+    return f"CASE WHEN {n} = 0 THEN 'info' WHEN {n} / total::DOUBLE >= 0.02 THEN 'alta' ELSE 'média' END"
+
+
+@query("agg_audit", "WITH r AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE {sql}) AS c{k.replace('.', '_')}" for k, (sql, _) in _ROW_CHECKS.items()) + ", count(*) AS total FROM occurrences) "
+       + " UNION ALL ".join(f"SELECT '{k}' AS check_id, c{k.replace('.', '_')} AS n, total, round(100.0 * c{k.replace('.', '_')} / total, 2)::DOUBLE AS pct, {_severity_sql('c' + k.replace('.', '_'))} AS severity FROM r" for k in LONG_AUDIT))
+def agg_audit(spark, root):
+    """The checks of single rows as one long table with shares and severities; an empty corpus gives no shares."""
+    wide = agg_audit_rows(spark, root)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(f"c{k.replace('.', '_')}").alias("n")) for k in LONG_AUDIT])).alias("c")
+    rate = S.ratio(F.col("n"), F.col("total"))
+    long = wide.select(each, "total").select("c.*", "total")
+    return long.select("check_id", "n", "total", F.round(100 * rate, 2).alias("pct"), F.when(F.col("n") == 0, "info").when(rate >= 0.02, "alta").otherwise("média").alias("severity"))

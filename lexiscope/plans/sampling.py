@@ -92,6 +92,23 @@ def smp_pools_v2(spark, root):
     return calibration.unionByName(watch).unionByName(near).unionByName(main)
 
 
+@query("smp_pools_v1")
+def smp_pools_v1(spark, root):
+    """The older design: fifty per kind for calibration, the rare category whole, watch list, near misses, main sample."""
+    u = frame(spark, root)
+    calibration = cut_lineage(P.first_per_group(u, ["kind"], KEY, SEED, 50).select(*KEY, F.lit("calibration").alias("pool")))
+    rest = u.join(calibration, KEY, "left_anti")
+    census = cut_lineage(P.first_rows(rest.where("category = 'C'"), KEY, SEED, 300).select(*KEY, F.lit("census_c").alias("pool")))
+    rest = cut_lineage(rest.where("category IN ('A', 'B')").join(census, KEY, "left_anti"))
+    rare = rest.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n < 50").select("e")
+    watch = cut_lineage(P.first_per_group(rest.join(rare, "e", "left_semi"), ["e"], KEY, SEED, 30).select(*KEY, F.lit("watch").alias("pool")))
+    rest = cut_lineage(rest.join(watch, KEY, "left_anti"))
+    near = near_miss_pool(rest, 60).withColumn("pool", F.lit("near_miss"))
+    stratum = F.concat_ws("|", "category", "kind")
+    main = P.stratified(rest.join(near, KEY, "left_anti").withColumn("stratum", stratum), "stratum", KEY, 385, SEED).select(*KEY, F.lit("main").alias("pool"))
+    return calibration.unionByName(census).unionByName(watch).unionByName(near).unionByName(main)
+
+
 @query("smp_srs", f"SELECT {K} FROM {U} WHERE kind = 'code_comment' ORDER BY {order_sql(7)} LIMIT 269")
 def smp_srs(spark, root):
     """A simple random sample of code comments."""

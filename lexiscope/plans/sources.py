@@ -188,6 +188,55 @@ def win_nearest_commit(spark, root):
     return near.join(one, ["repo_full_name", "at"]).groupBy("repo_full_name", "removed_at").agg(F.min_by("sha", F.struct(d, F.col("sha"))).alias("sha"))
 
 
+def _shared_folder(spark, name):
+    import uuid
+
+    from lexiscope.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src_csv", f"SELECT {K}, replace(replace(body_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body_text FROM occurrences")
+def src_csv(spark, root):
+    """The records through CSV and back: quotes, blanks and line breaks in fields survive; every kind of line break becomes one."""
+    at = _shared_folder(spark, "csv")
+    files.write_csv(occ(spark, root).select(*KEY, "body_text"), at)
+    back = files.read_csv(spark, at, ", ".join(f"{c} string" for c in [*KEY, "body_text"]))
+    return back.withColumn("body_text", F.regexp_replace("body_text", r"\r\n|\r", "\n"))
+
+
+@query("src_repos", "SELECT repo_full_name, stars FROM repos")
+def src_repos(spark, root):
+    """Repositories from stored pages of a search: JSON lines with an array of items."""
+    at = _shared_folder(spark, "pages")
+    item = F.struct("repo_full_name", "stars")
+    pages = repos(spark, root).withColumn("page", F.pmod(F.xxhash64("repo_full_name", "stars"), F.lit(4096))).groupBy("page").agg(F.collect_list(item).alias("items"))
+    pages.select("items").write.json(at)
+    return files.read_pages(spark, at, "repo_full_name:string,stars:int")
+
+
+@query("snk_append", f"SELECT {KIND} AS kind, 2 * count(*) AS n FROM occurrences GROUP BY 1")
+def snk_append(spark, root):
+    """Two appended batches are read as one table."""
+    at = _shared_folder(spark, "append")
+    for _ in range(2):
+        files.append(occ(spark, root).select(kind().alias("kind")), at)
+    return spark.read.parquet(at).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_json_manifest", "SELECT 'occurrences' AS name, count(*) AS n_rows FROM occurrences UNION ALL SELECT 'repos', count(*) FROM repos UNION ALL SELECT 'documents', count(*) FROM documents")
+def src_json_manifest(spark, root):
+    """A manifest as JSON lines, written and read back."""
+    at = _shared_folder(spark, "manifest")
+    out = None
+    for t in ("occurrences", "repos", "documents"):
+        n = load(spark, root, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("name"), "n_rows")
+        out = n if out is None else out.unionByName(n)
+    out.select(F.to_json(F.struct("name", "n_rows")).alias("value")).write.text(at)
+    return files.read_jsonl(spark, at, "name string, n_rows bigint")[0]
+
+
 # ---- joins and sets ------------------------------------------------------------------------------------------------
 
 

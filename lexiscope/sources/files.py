@@ -15,7 +15,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Texts keep their blanks at the ends and their line breaks; null and '' stay apart."""
+    out = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("escapeQuotes", True).option("quoteAll", False)
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
