@@ -30,7 +30,7 @@ WINNOW = 4
 COPY_SHARE = 0.8
 MIN_REPOSITORIES = 3
 WORD = re.compile(r"[^\W_]\w*")
-COMMENT_LINE = re.compile(r"(?m)^\s*(//|#|/\*|\*|--).*$")
+COMMENT_LINE = re.compile(r"(?m)^[ \t]*(//|#|/\*|\*|--).*$")
 
 #: fixed values: folders that package managers and build tools fill
 VENDOR_FOLDERS = [
@@ -48,7 +48,7 @@ DIST_FILE = r"(^|/)dist/[^/]+\.(js|mjs|css)$"
 VERSIONED_FOLDER = r"(^|/)[a-z][a-z0-9_]*-[0-9]+\.[0-9]+(\.[0-9]+)*/"
 #: fixed values: what generators write about their output, at the start of a line of comment
 GENERATED_MARK = (
-    r"(?im)^\s*(//|#|/\*+|\*|--|;|<!--)\s*(code generated by .*do not edit|auto-?generated (file|by|from|code)|this (file|code) (is|was) (auto-?|automatically |machine[- ])?(generated|produced|created|written|emitted)"
+    r"(?im)^[ \t]*(//|#|/\*+|\*|--|;|<!--)[ \t]*(code generated by .*do not edit|auto-?generated (file|by|from|code)|this (file|code) (is|was) (auto-?|automatically |machine[- ])?(generated|produced|created|written|emitted)"
     r"|<auto-?generated>|@generated\b|generated (from|by) .*(edits are overwritten|do not (edit|modify)|at build time)|automatically generated|output of .*(regenerate|do not edit|not by hand)|.*(manual|hand) (changes|edits) (will|are|get) (be )?(lost|overwritten))"
 )
 
@@ -80,7 +80,7 @@ def text_evidence(text: Column) -> Column:
     blanks = lambda l: F.length(l) - F.length(F.translate(l, " \t", ""))
     brackets = lambda l: F.length(l) - F.length(F.translate(l, "(){}[];,", ""))
     minified = F.exists(long_lines, lambda l: (blanks(l) < 0.07 * F.length(l)) & (brackets(l) > 0.1 * F.length(l)))
-    code = F.regexp_replace(text, r"(?m)^\s*(//|#|/\*|\*|--).*$", "")
+    code = F.regexp_replace(text, r"(?m)^[ \t]*(//|#|/\*|\*|--).*$", "")
     rest = F.regexp_replace(code, r"(0[xX][0-9a-fA-F]+|[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?),|[\"'][^\"'\s]{60,}[\"'],?", "")
     solid = lambda c: F.length(F.translate(c, " \t\r\n", ""))
     data = (solid(code) >= 80) & (solid(rest) <= 0.3 * solid(code))
