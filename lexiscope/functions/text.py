@@ -16,7 +16,7 @@ def col(c: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(col(x), r"^\s+|\s+$", "")
+    return F.btrim(col(x), F.lit(" \t\n\x0b\f\r"))
 
 
 def lines_normal(text: Column | str) -> Column:
