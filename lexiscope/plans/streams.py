@@ -47,8 +47,8 @@ def stream_session_counts(spark, root):
 @query("stream_keep_last", "SELECT user_id, event_type, max(ts)::TIMESTAMP AS ts, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def stream_keep_last(spark, root):
     at = _place(spark)
-    ops.run_compacting(_source(spark, root).select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"], f"{at}/table", f"{at}/check")
-    return spark.read.parquet(f"{at}/table/v=0")
+    last = ops.run_compacting(_source(spark, root).select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"], f"{at}/table", f"{at}/check")
+    return spark.read.parquet(f"{at}/table/v={last}")
 
 
 @query("stream_pair_events", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN '+' ELSE '-' END AS sign FROM events),

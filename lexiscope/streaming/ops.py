@@ -75,11 +75,13 @@ def skip_done(batch: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return batch.join(done.select(*key).distinct(), key, "left_anti")
 
 
-def run_compacting(stream: DataFrame, key: list[str], order: list[str], target: str, checkpoint: str) -> None:
+def run_compacting(stream: DataFrame, key: list[str], order: list[str], target: str, checkpoint: str) -> int | None:
     """Keep the last row per key of a log: every batch is merged with the table so far and written as a new version.
 
-    ``target`` holds folders v=0, v=1, ...; readers take the largest. A repeated batch writes its own version again.
+    ``target`` holds folders v=0, v=1, ...; the number of the last one is returned, None if there was nothing to read.
+    A repeated batch writes its own version again.
     """
+    versions: list[int] = []
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -89,9 +91,11 @@ def run_compacting(stream: DataFrame, key: list[str], order: list[str], target:
         rest = [c for c in both.columns if c not in key]
         last = both.groupBy(*key).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("r"))
         last.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(f"{target}/v={number}")
+        versions.append(number)
 
     ensure_checkpoint_dir(stream.sparkSession)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return max(versions, default=None)
 
 
 def dead_letters(attempts: DataFrame, key: list[str], most: int = 3) -> DataFrame:
