@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiscope.session import cut_lineage
+
 SHINGLE = 5
 WINNOW = 4
 COPY_SHARE = 0.8
@@ -125,10 +127,11 @@ def copied_files(records: DataFrame) -> DataFrame:
     the records over the fingerprint; the counts' side has one row per key, so adaptive execution splits a hot key freely.
     Texts are reduced to one row per (text, repository, path) first.
     """
-    prints = records.select(
+    # the counts and the records both need the fingerprints: they are made once and written, without the texts
+    prints = cut_lineage(records.select(
         "repo_full_name", "path", F.xxhash64("body_text").alias("text_id"),
         F.pandas_udf(_winnow_all, "array<bigint>")(F.col("body_text")).alias("prints"),
-    ).where(F.size("prints") > 0)
+    ).where(F.size("prints") > 0))
     name = F.lower(F.regexp_replace(F.regexp_replace(F.trim("repo_full_name"), r"%2[Ff]", "/"), r"(/tree/[^/]*)?(\.git)?/*\s*$", ""))
     flat = prints.select(
         "repo_full_name", "path", "text_id", F.size("prints").alias("n"), F.explode("prints").alias("print"),
