@@ -324,7 +324,7 @@ def agg_bootstrap_ci(spark, root):
 
 @query("agg_error_breakdown", f"""
 WITH e AS (SELECT e.*, t.artifact, (m.n_true NOT IN (0, m.n_votes)) AS disputed FROM {ERR} e JOIN {ART} t USING (item_id) LEFT JOIN ({MAJ.format(v=R)}) m USING (item_id))
-SELECT artifact, count(*) AS n, sum(error) AS n_errors, avg(error) AS rate, count(*) FILTER (WHERE error = 1 AND disputed) AS n_disputed FROM e GROUP BY artifact""")
+SELECT artifact, count(*) AS n, sum(error)::BIGINT AS n_errors, avg(error) AS rate, count(*) FILTER (WHERE error = 1 AND disputed) AS n_disputed FROM e GROUP BY artifact""")
 def agg_error_breakdown(spark, root):
     m = A.majority(raters(spark, root)).select("item_id", (~F.col("is_unanimous")).alias("disputed"))
     e = errors(spark, root).join(items(spark, root), "item_id").join(m, "item_id", "left")

@@ -46,7 +46,7 @@ query("p4_profile_by_expression", PROFILE_SQL.format(key="matched_expression"))(
 
 @query("p4_stars_by_expression", """
 WITH r AS (SELECT repo_full_name, max(stars) AS stars FROM repos GROUP BY repo_full_name)
-SELECT o.matched_expression, count(*) AS n_rows, count(r.stars) AS n_known, sum(r.stars) AS sum_stars
+SELECT o.matched_expression, count(*) AS n_rows, count(r.stars) AS n_known, sum(r.stars)::BIGINT AS sum_stars
 FROM occurrences o LEFT JOIN r USING (repo_full_name) GROUP BY o.matched_expression
 """)
 def p4_stars_by_expression(spark, root):
