@@ -161,7 +161,8 @@ def found_records(occurrences: DataFrame) -> DataFrame:
 
 def hand_written(occurrences: DataFrame) -> DataFrame:
     """The table without the records in such files; all columns, records of other types untouched."""
-    is_code = F.lower(F.trim("artifact_type")) == "code_comment"
-    own = occurrences.withColumn("_path", F.when(is_code, path_of(F.col("artifact_id"))))
+    is_code = F.coalesce((F.lower(F.trim("artifact_type")) == "code_comment") & F.col("artifact_id").isNotNull(), F.lit(False))
     files = classify(occurrences).select(F.col("repo_full_name").alias("_repo"), F.col("path").alias("_file"))
-    return own.join(files, (F.col("repo_full_name") == F.col("_repo")) & (F.col("_path") == F.col("_file")), "left_anti").drop("_path")
+    match = (F.col("repo_full_name") == F.col("_repo")) & (path_of(F.col("artifact_id")) == F.col("_file"))
+    # other records do not go through the join: without a path, those of a large repository would meet in one task
+    return occurrences.where(is_code).join(files, match, "left_anti").union(occurrences.where(~is_code))
