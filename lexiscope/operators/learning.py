@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ MAX_QUERIES = 200_000
 def tokens(text: str):
     """Words of two or more letters, and pairs of neighbouring words."""
     words = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: F.length(w) >= 2)
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: i < F.size(words)), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
-    return F.concat(words, pairs)
+    after = lambda ws, at: F.slice(ws, F.lit(at), F.greatest(F.size(ws) - 1, F.lit(0)))
+    both = lambda ws: F.concat(ws, F.zip_with(after(ws, 1), after(ws, 2), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.element_at(F.transform(F.array(words), both), 1)  # in a lambda, for the text is split once and not per pair
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 1) -> DataFrame:
@@ -74,6 +76,38 @@ def fold_of(key: str, label: str, repeat: int, folds: int = 5):
     return F.pmod(F.xxhash64(key, F.lit(repeat)), F.lit(folds)).cast("int")
 
 
+def stratified_fold(key: str, label: str, repeat: int, folds: int = 5):
+    """A fold per row, equally many of each class in each; only key and label are sorted, by class."""
+    w = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.col(key), F.lit(str(repeat)))), key)
+    return F.pmod(F.row_number().over(w), F.lit(folds)).cast("int")
+
+
+def vocabulary(docs: DataFrame, terms_col: str, min_df: int = 2, max_features: int = 20_000) -> list[str]:
+    """The most frequent terms of at least ``min_df`` documents; at most ``max_features`` terms reach the driver."""
+    each = docs.select(F.monotonically_increasing_id().alias("doc"), F.explode(terms_col).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("c"))
+    n = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n")).where(F.col("df") >= min_df)
+    return [r.term for r in n.orderBy(F.desc("n"), "term").limit(max_features).select("term").collect()]
+
+
+def _sublinear(v):
+    return Vectors.sparse(v.size, v.indices, 1 + np.log(v.values))
+
+
+def text_vectors(train: DataFrame, test: DataFrame, terms_col: str, min_df: int = 2, max_features: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """Both with ``features``, the TF-IDF of their terms as in ``tfidf``; terms and document frequencies are those of ``train`` alone."""
+    from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
+
+    words = vocabulary(train, terms_col, min_df, max_features)
+    if not words:
+        raise ValueError(f"no term stands in {min_df} training texts")
+    count = CountVectorizerModel.from_vocabulary(words, inputCol=terms_col, outputCol="counts")
+    tf = F.udf(_sublinear, VectorUDT())
+    counted = [count.transform(d).withColumn("tf", tf("counts")) for d in (train, test)]
+    idf = IDF(inputCol="tf", outputCol="idf").fit(counted[0]).idf.toArray() + 1
+    scale, unit = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="raw"), Normalizer(p=2.0, inputCol="raw", outputCol="features")
+    return tuple(unit.transform(scale.transform(d)).drop("counts", "tf", "raw") for d in counted)
+
+
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
     n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two classes
     total = sum(n.values())

@@ -9,6 +9,7 @@ from lexiscope.functions import stats as S
 from lexiscope.operators import learning as M
 from lexiscope.plans.agreement import JUDGE_NAMES, gold, votes
 from lexiscope.plans.registry import query
+from lexiscope.session import cut_lineage
 from lexiscope.sources.tables import load
 
 TFIDF_SQL = """WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^\\w]+'), lambda x: length(x) >= 2) AS ws FROM part),
@@ -58,18 +59,81 @@ def _fit(spark, root, model):
     return out.withColumn("kappa", S.kappa2(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))).withColumn("mcc", S.mcc(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
-@query("ml_logreg")
-def ml_logreg(spark, root):
+def item_texts(spark, root):
+    """(item_id, label, text): every item with a gold label and the text of its occurrence, by url and phrase; empty where there is none."""
+    phrase = F.lower(F.trim("matched_expression")).alias("phrase")
+    place = load(spark, root, "nao_unanimes").groupBy("item_id").agg(F.min(F.struct("url", phrase)).alias("p")).select("item_id", "p.*")
+    body = load(spark, root, "occurrences").select("url", phrase, "body_text").join(place.select("url", "phrase").distinct(), ["url", "phrase"], "left_semi").groupBy("url", "phrase").agg(F.min("body_text").alias("text"))
+    rows = gold(spark, root).select("item_id", F.col("gold").cast("double").alias("label")).join(place, "item_id").join(body, ["url", "phrase"], "left")
+    return rows.select("item_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def item_terms(spark, root, repeats):
+    """(item_id, label, terms, fold0, fold1, ...), written once, as every fold reads it again."""
+    rows = item_texts(spark, root)
+    folds = rows.select("item_id", "label").select("item_id", *[M.stratified_fold("item_id", "label", r).alias(f"fold{r}") for r in range(repeats)])
+    return cut_lineage(rows.select("item_id", "label", M.tokens("text").alias("terms")).join(folds, "item_id"))
+
+
+TFIDF_TEXTS_SQL = """WITH i AS (SELECT item_id, min((url, lower(trim(matched_expression)))) AS p FROM nao_unanimes GROUP BY 1 HAVING bool_or(gold_is_ubw) IS NOT NULL),
+b AS (SELECT (url, lower(trim(matched_expression))) AS p, min(body_text) AS body FROM occurrences GROUP BY 1),
+x AS (SELECT item_id, coalesce(body, '') AS body FROM i LEFT JOIN b USING (p)),
+w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda x: length(x) >= 2) AS ws FROM x),
+t AS (SELECT item_id, unnest(list_concat(ws, list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+c AS (SELECT item_id, term, count(*) AS c FROM t GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM x),
+r AS (SELECT item_id, term, (1 + ln(c)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN d USING (term), n)
+SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM r"""
+
+
+@query("ml_tfidf_texts", TFIDF_TEXTS_SQL)
+def ml_tfidf_texts(spark, root):
+    """The TF-IDF of the items' texts, terms of two or more items."""
+    return M.tfidf(item_texts(spark, root), "item_id", "text", 2)
+
+
+def logistic(n):
+    """The penalty is half the squared weights against the summed loss, of ``n`` training rows."""
     from pyspark.ml.classification import LogisticRegression
 
-    return _fit(spark, root, LogisticRegression(weightCol="weight", maxIter=50))
+    return LogisticRegression(weightCol="weight", maxIter=2000, regParam=1.0 / n, standardization=False)
+
+
+def boosted(n, trees=200):
+    from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+
+
+def _predicted(rows, fold, of, model):
+    """Label and prediction of the rows of fold ``of``, by a model that saw the others only."""
+    train, test = M.text_vectors(M.with_class_weight(rows.where(F.col(fold) != of)), rows.where(F.col(fold) == of), "terms")
+    train = train.select("label", "weight", "features").persist()
+    fitted = model(train.count()).fit(train)
+    out = cut_lineage(fitted.transform(test).select("label", "prediction"))
+    train.unpersist()
+    return out
+
+
+def _measured(out):
+    cells = [F.col(x) for x in ("tp", "fp", "fn", "tn")]
+    return out.withColumn("kappa", S.kappa2(*cells)).withColumn("mcc", S.mcc(*cells))
+
+
+@query("ml_logreg")
+def ml_logreg(spark, root):
+    """TF-IDF of the items' texts and a class-balanced logistic regression, judged on the held-out fold."""
+    return _measured(M.confusion(_predicted(item_terms(spark, root, 1), "fold0", 0, logistic)))
 
 
 @query("ml_gbt")
 def ml_gbt(spark, root):
-    from pyspark.ml.classification import GBTClassifier
+    """TF-IDF of the items' texts and 200 boosted trees of depth 3, judged on the held-out fold."""
+    return _measured(M.confusion(_predicted(item_terms(spark, root, 1), "fold0", 0, boosted)))
 
-    return _fit(spark, root, GBTClassifier(weightCol="weight", maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=42))
+
+def _fit(spark, root, model):
+    rows = M.with_class_weight(vote_features(spark, root)).withColumn("fold", M.fold_of("item_id", "label", 0)).persist()
+    return _measured(M.confusion(model.fit(rows.where("fold > 0")).transform(rows.where("fold = 0"))))
 
 
 @query("ml_aggregator")
@@ -80,20 +144,25 @@ def ml_aggregator(spark, root):
     return _fit(spark, root, GBTClassifier(weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.1, seed=7))
 
 
-@query("ml_cv")
-def ml_cv(spark, root):
-    """Kappa and MCC per repetition of a five-fold cross-validation of the logistic regression."""
-    from pyspark.ml.classification import LogisticRegression
+REPEATS, FOLDS = 5, 5
+
 
-    rows = M.with_class_weight(vote_features(spark, root)).persist()
+def cross_validated(rows, model, repeats=REPEATS):
+    """One row per repetition, each of out-of-fold predictions of all rows; mean and population deviation over the repetitions."""
     out = None
-    for repeat in range(2):
-        folded = rows.withColumn("fold", M.fold_of("item_id", "label", repeat))
+    for repeat in range(repeats):
         parts = None
-        for fold in range(5):
-            p = LogisticRegression(weightCol="weight", maxIter=20).fit(folded.where(F.col("fold") != fold)).transform(folded.where(F.col("fold") == fold)).select("label", "prediction")
+        for fold in range(FOLDS):
+            p = _predicted(rows, f"fold{repeat}", fold, model)
             parts = p if parts is None else parts.unionByName(p)
         c = M.confusion(parts).withColumn("repeat", F.lit(repeat))
         out = c if out is None else out.unionByName(c)
-    cells = [F.col(x) for x in ("tp", "fp", "fn", "tn")]
-    return out.withColumn("kappa", S.kappa2(*cells)).withColumn("mcc", S.mcc(*cells))
+    each = Window.partitionBy()
+    spread = {f"{m}_{n}": f(m).over(each) for m in ("kappa", "mcc") for n, f in (("mean", F.avg), ("std", F.stddev_pop))}
+    return _measured(out).withColumns(spread)
+
+
+@query("ml_cv")
+def ml_cv(spark, root):
+    """Kappa and MCC per repetition of a five-fold cross-validation of the logistic regression over the items' texts."""
+    return cross_validated(item_terms(spark, root, REPEATS), logistic)
