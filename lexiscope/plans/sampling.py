@@ -60,7 +60,7 @@ def frame(spark, root):
 
 
 def near_miss_pool(pool, n_target=120):
-    """For each pattern its quota, each record taken by the first pattern that reaches it."""
+    """For each pattern its quota, each record taken by the first pattern that reaches it; then other flagged records up to the target."""
     per = max(1, n_target // len(NEAR_MISS))
     flagged = cut_lineage(pool.where(F.size("flags") > 0).select(*KEY, "flags"))
     taken = None
@@ -70,7 +70,10 @@ def near_miss_pool(pool, n_target=120):
             left = left.join(taken, KEY, "left_anti")
         new = P.first_rows(left, KEY, SEED, per).select(*KEY)
         taken = cut_lineage(new if taken is None else taken.unionByName(new))
-    return taken
+    short = n_target - taken.count()
+    if short <= 0:
+        return taken
+    return cut_lineage(taken.unionByName(P.first_rows(flagged.join(taken, KEY, "left_anti"), KEY, SEED, short).select(*KEY)))
 
 
 @query("smp_near_miss")
