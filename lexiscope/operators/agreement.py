@@ -30,24 +30,25 @@ def pairwise(votes: DataFrame, by: list[str] | None = None) -> DataFrame:
     return with_agreement(pairs.groupBy(*by, "rater_a", "rater_b").agg(F.count(F.lit(1)).alias("n"), *binary_cells(F.col("x"), F.col("y"))))
 
 
-def categorical(pairs: DataFrame) -> DataFrame:
-    """Cohen's kappa and AC1 for any number of categories; ``pairs`` has x and y, the two raters' categories.
+def categorical(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Cohen's kappa and AC1 for any number of categories, per group of ``by``; ``pairs`` has x and y, the two raters' categories.
 
     One category gives kappa 1, as does a chance agreement of 1; no pair gives no row.
     """
-    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    total = cells.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
+    by = by or []
+    cells = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    total = cells.groupBy(*by).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
     margin = (
-        cells.select(F.col("x").alias("c"), F.col("n").alias("px"), F.lit(0).alias("py")).unionByName(cells.select(F.col("y").alias("c"), F.lit(0).alias("px"), F.col("n").alias("py")))
-        .groupBy("c").agg(F.sum("px").alias("px"), F.sum("py").alias("py"))
+        cells.select(*by, F.col("x").alias("c"), F.col("n").alias("px"), F.lit(0).alias("py")).unionByName(cells.select(*by, F.col("y").alias("c"), F.lit(0).alias("px"), F.col("n").alias("py")))
+        .groupBy(*by, "c").agg(F.sum("px").alias("px"), F.sum("py").alias("py"))
     )
-    sums = margin.agg(F.count(F.lit(1)).alias("q"), F.sum(F.col("px").cast("double") * F.col("py")).alias("cross"), F.collect_list((F.col("px") + F.col("py")).cast("double")).alias("both"))
-    one = total.join(sums)  # one row by one row
+    sums = margin.groupBy(*by).agg(F.count(F.lit(1)).alias("q"), F.sum(F.col("px").cast("double") * F.col("py")).alias("cross"), F.collect_list((F.col("px") + F.col("py")).cast("double")).alias("both"))
+    one = total.join(sums, by) if by else total.join(sums)  # one row by one row, in each group
     n, q = F.col("total").cast("double"), F.col("q")
     po, pe = F.col("same") / n, F.col("cross") / (n * n)
     chance = F.aggregate(F.transform("both", lambda b: b / (2 * n) * (1 - b / (2 * n))), F.lit(0.0), lambda s, x: s + x) / F.nullif(q - 1, F.lit(0))
     return one.where("total > 0").select(
-        F.col("total").alias("n"), q.alias("categories"), po.alias("po"),
+        *by, F.col("total").alias("n"), q.alias("categories"), po.alias("po"),
         F.when((q < 2) | (pe == 1), 1.0).otherwise(S.ratio(po - pe, 1 - pe)).alias("kappa"),
         F.when(q < 2, 1.0).otherwise(S.ratio(po - chance, 1 - chance)).alias("ac1"),
     )

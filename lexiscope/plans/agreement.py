@@ -180,6 +180,26 @@ def agg_agreement_report(spark, root):
     return A.with_agreement(cells)
 
 
+def categories(spark, root):
+    """Vote and confirmed category per item and annotator; the category is that of the true rows."""
+    rows = load(spark, root, "annotations_long")
+    return rows.groupBy("item_id", F.col("annotator_id").alias("rater")).agg(F.bool_or("is_ubw").alias("vote"), F.min(F.when(F.col("is_ubw"), F.col("category_confirmed"))).alias("category"))
+
+
+def category_agreement(v, artifacts):
+    """Agreement on the category where both votes are true, of the first annotator with the others, overall and per kind of artifact."""
+    v = v.where("vote AND category IS NOT NULL").join(artifacts, "item_id")
+    left = v.where("rater = 'an01'").select("item_id", F.explode(F.array(F.lit("all"), F.col("artifact"))).alias("artifact"), F.col("rater").alias("rater_a"), F.col("category").alias("x"))
+    right = v.where("rater > 'an01'").select("item_id", F.col("rater").alias("rater_b"), F.col("category").alias("y"))
+    return A.categorical(left.join(right, "item_id"), ["artifact", "rater_a", "rater_b"])
+
+
+@query("agg_agreement_category")
+def agg_agreement_category(spark, root):
+    """The part of the agreement report on category_confirmed; that on the label is agg_agreement_report."""
+    return category_agreement(categories(spark, root), items(spark, root).select("item_id", "artifact"))
+
+
 @query("agg_agreement_by_stratum", f"SELECT *, {MEASURES} FROM (" + PAIRS.format(v=V, by="t.stratum,", more=f"JOIN {ART} t ON t.item_id = l.item_id") + ")")
 def agg_agreement_by_stratum(spark, root):
     v = votes(spark, root).where("vote IS NOT NULL").join(items(spark, root).select("item_id", "stratum"), "item_id")
@@ -369,6 +389,18 @@ def smp_tiebreak(spark, root):
     return join_pair_annotators(spark, root).where("vote_a <> vote_b")
 
 
+VC = "(SELECT item_id, annotator_id AS rater, bool_or(is_ubw) AS vote, min(category_confirmed) FILTER (WHERE is_ubw) AS category FROM annotations_long GROUP BY ALL)"
+
+
+@query("smp_tiebreak_whole", f"SELECT item_id, l.vote AS vote_a, r.vote AS vote_b, l.category AS category_a, r.category AS category_b FROM {VC} l JOIN {VC} r USING (item_id) WHERE l.rater = 'an01' AND r.rater = 'an02' AND (l.vote <> r.vote OR (l.vote AND r.vote AND (l.category <> r.category OR l.category IS NULL OR r.category IS NULL)))")
+def smp_tiebreak_whole(spark, root):
+    """The tie-break batch: items that differ in the label or, both being true, in the category; a category that is not given differs."""
+    v = categories(spark, root)
+    of = lambda r, x: v.where(F.col("rater") == r).select("item_id", F.col("vote").alias(f"vote_{x}"), F.col("category").alias(f"category_{x}"))
+    both = of("an01", "a").join(of("an02", "b"), "item_id").select("item_id", "vote_a", "vote_b", "category_a", "category_b")
+    return both.where("vote_a <> vote_b OR (vote_a AND vote_b AND NOT coalesce(category_a = category_b, false))")
+
+
 @query("join_stratum", "SELECT a.item_id, a.annotator_id, s.sample_stratum FROM (SELECT DISTINCT item_id, annotator_id FROM annotations_long) a LEFT JOIN (SELECT item_id, min(sample_stratum) AS sample_stratum FROM annotations_long GROUP BY 1) s USING (item_id)")
 def join_stratum(spark, root):
     rows = load(spark, root, "annotations_long")

@@ -264,6 +264,27 @@ def agg_frequency_slots(spark, root):
     return n.withColumn("rn", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("n"), "word"))).where("rn <= 20").drop("rn")
 
 
+SLOT_RX = {"pre_but": "(?i)([\\w''-]+(?:\\s+[\\w''-]+){0,2})\\s+but\\b", "pre_works": "(?i)([\\w''-]+(?:\\s+[\\w''-]+){0,2})\\s+works?\\b", "post_but": "(?i)\\bbut\\b\\s+(.{1,40})"}
+PATTERN_SQL = "lower(trim(matched_expression))"
+
+
+@query("agg_frequency_by_pattern", "WITH s AS (" + " UNION ALL ".join(f"SELECT {PATTERN_SQL} AS pattern, '{k}' AS slot, nullif(lower(trim(regexp_extract(body_text, '{rx}', 1), ' ')), '') AS word FROM occurrences" for k, rx in SLOT_RX.items()) + f"""),
+n AS (SELECT pattern, slot, word, count(*) AS n FROM s WHERE word IS NOT NULL GROUP BY ALL), t AS (SELECT {PATTERN_SQL} AS pattern, count(*) AS total FROM occurrences GROUP BY 1)
+SELECT pattern, total, slot, word, n FROM t LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern, slot ORDER BY n DESC, word) AS rn FROM n) WHERE rn <= 20) USING (pattern)""")
+def agg_frequency_by_pattern(spark, root):
+    return frequency_by_pattern(occ(spark, root))
+
+
+def frequency_by_pattern(rows):
+    """Per phrase its total and the twenty most frequent fillers of all three slots; a phrase without fillers has one row."""
+    s = T.slots("body_text")
+    pattern = F.lower(F.trim("matched_expression")).alias("pattern")
+    flat = rows.select(pattern, F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), s[k].alias("word")) for k in SLOT_RX])).alias("f")).select("pattern", "f.*").where("word IS NOT NULL")
+    n = flat.groupBy("pattern", "slot", "word").agg(rows_().alias("n"))
+    top = n.withColumn("rn", F.row_number().over(Window.partitionBy("pattern", "slot").orderBy(F.desc("n"), "word"))).where("rn <= 20").drop("rn")
+    return rows.groupBy(pattern).agg(rows_().alias("total")).join(top, "pattern", "left")
+
+
 @query("agg_bot_removed", f"SELECT lower(coalesce(author_login, author_name)) AS identity, count(*) AS n FROM occurrences WHERE {bot_sql('author_login')} OR {bot_sql('author_name')} GROUP BY 1")
 def agg_bot_removed(spark, root):
     bots = occ(spark, root).where(T.is_bot("author_login") | T.is_bot("author_name"))
