@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files, so a lost executor costs one re-read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remembered(spark: SparkSession, key: str, make: Callable[[], bytes]) -> bytes:
+    """What ``make`` returns, made once per ``key`` and kept as one small file in the shared folder.
+
+    Several queries that need the same fitted model share it so; the key must tell all that the model depends on. A missing
+    or half-written file counts as absent.
+    """
+    from pyspark.errors import PySparkException
+
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/lexiscope-models/{key}"
+    try:
+        rows = spark.read.schema("blob binary").parquet(path).collect()
+        if len(rows) == 1:
+            return bytes(rows[0].blob)
+    except PySparkException:
+        pass
+    blob = make()
+    spark.createDataFrame([(bytearray(blob),)], "blob binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return blob
