@@ -152,7 +152,7 @@ def test_found_types(spark, make_occurrences, tagger):
 
 def test_fit_is_remembered(spark, make_occurrences, monkeypatch):
     calls = []
-    monkeypatch.setattr(pii, "train", lambda data: calls.append(1) or pii.Tagger(len(pii.LABELS)))
+    monkeypatch.setattr(pii, "_train_in_task", lambda sample: calls.append(1) or pii.Tagger(len(pii.LABELS)).to_bytes())
     df = make_occurrences([dict(artifact_id=str(k), body_text=b) for k, b in enumerate(BACKGROUND)])
     a, b = pii.fit(df), pii.fit(df)
     assert len(calls) == 1 and (a.w["E"] == b.w["E"]).all() and pii.fit(df.limit(0)) is not None
