@@ -84,6 +84,17 @@ def p7_found(spark, root):
     return splits.same_repository(load(spark, root, "occurrences"), load(spark, root, "repos"))
 
 
+@query("p7_classes")
+def p7_classes(spark, root):
+    """Every stored name with the representative of its repository: the membership that the pairs of p7_found expand."""
+    return splits.classes(load(spark, root, "occurrences"), load(spark, root, "repos"))
+
+
+@query("p7_label_shares")
+def p7_label_shares(spark, root):
+    return splits.label_shares(load(spark, root, "occurrences"), load(spark, root, "repos"), load(spark, root, "split_shares"))
+
+
 @query("p7_assignment")
 def p7_assignment(spark, root):
     return splits.assign(load(spark, root, "occurrences"), load(spark, root, "repos"), load(spark, root, "split_shares"))

@@ -273,9 +273,51 @@ def test_components_against_union_find(spark):
 
 
 def test_flow_meets_quotas():
-    out = splits.flow([(500, "p", 1), (90, "p", 3), (10, "q", 20), (1, "q", 330)], [("a", 0.8), ("b", 0.1), ("c", 0.1)])
-    for (size, p), counts in out.items():
-        assert min(counts) >= 0
-    total = 500 + 270 + 200 + 330
-    got = [sum(size * c[k] for (size, _), c in out.items()) for k in range(3)]
-    assert sum(got) == total and all(abs(g - total * s) <= 10 for g, s in zip(got, (0.8, 0.1, 0.1)))
+    import numpy as np
+
+    rows = np.array([[500.0, 0], [90, 0], [0, 10], [0, 1]])
+    flow = splits.Flow(rows, np.array([1, 3, 20, 330]), np.array([0.8, 0.1, 0.1]))
+    assert flow.x.min() >= 0 and flow.x.sum(1).tolist() == [1, 3, 20, 330]
+    got = flow.x.T @ rows.sum(1)
+    assert got.sum() == 1300 and all(abs(g - 1300 * s) <= 10 for g, s in zip(got, (0.8, 0.1, 0.1)))
+
+
+def test_flow_against_every_assignment():
+    """On small cases: no split is off by more than the largest component, and the best of all assignments is met in most."""
+    import itertools
+
+    import numpy as np
+
+    r, best_of = np.random.default_rng(3), 0
+    share = np.array([0.6, 0.25, 0.15])
+    for _ in range(40):
+        rows = r.integers(0, 30, (7, 2)).astype(float)
+        flow = splits.Flow(rows, np.ones(7, int), share)
+        v = np.column_stack([rows.sum(1), rows])
+        want = share[:, None] * v.sum(0)
+        w = np.array([1.0, splits.LABEL_WEIGHT, splits.LABEL_WEIGHT])
+        least = min(float((w * (np.array([v[[i for i, k in enumerate(c) if k == j]].sum(0) for j in range(3)]) - want) ** 2).sum()) for c in itertools.product(range(3), repeat=7))
+        assert abs(flow.cost() - float((w * (flow.x.T @ v - want) ** 2).sum())) < 1e-6
+        assert np.abs(flow.dev).max() <= v[:, 0].max()
+        best_of += flow.cost() <= least + 1e-6
+    assert best_of >= 20
+
+
+def test_labels_keep_their_shares(spark, make_occurrences):
+    r = random.Random(6)
+    rows = [dict(repo_full_name=f"o/{i}", artifact_type=t, artifact_id=str(k)) for i in range(400) for t in r.sample(["pr_body", "commit_message", "code_comment"], 2) for k in range(r.choice([1, 1, 2, 5]))]
+    shares = spark.createDataFrame([("train", 0.7), ("test", 0.3)], "split_name string, target_share double")
+    repos = spark.createDataFrame([], REPOS)
+    for x in splits.label_shares(make_occurrences(rows), repos, shares).collect():
+        assert abs(x.share - {"train": 0.7, "test": 0.3}[x.split_name]) < 0.02
+
+
+def test_caps_are_errors(spark, make_occurrences, monkeypatch):
+    df = make_occurrences([dict(repo_full_name="a/b", artifact_type="pr_body", artifact_id="1")])
+    repos = spark.createDataFrame([], REPOS)
+    monkeypatch.setattr(splits, "MAX_SPLITS", 1)
+    with pytest.raises(ValueError):
+        splits.assign(df, repos, spark.createDataFrame([("a", 0.5), ("b", 0.5)], "split_name string, target_share double"))
+    monkeypatch.setattr(splits, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        splits.components(spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)], "a string, b string"))
