@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Callable
 
@@ -38,23 +39,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def remembered(spark: SparkSession, key: str, make: Callable[[], bytes]) -> bytes:
-    """What ``make`` returns, made once per ``key`` and kept as one small file in the shared folder.
+def _shared_path(spark: SparkSession, key: str) -> str:
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/lexiscope-kept/{key}"
 
-    Several queries that need the same fitted model share it so; the key must tell all that the model depends on. A missing
-    or half-written file counts as absent.
+
+def remembered_table(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, written once per ``key`` to the shared folder and read from there.
+
+    The key must tell all that the table depends on. A table is complete when its success mark is there.
     """
-    from pyspark.errors import PySparkException
+    path = _shared_path(spark, key)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/lexiscope-models/{key}"
-    try:
-        rows = spark.read.schema("blob binary").parquet(path).collect()
-        if len(rows) == 1:
-            return bytes(rows[0].blob)
-    except PySparkException:
-        pass
-    blob = make()
-    spark.createDataFrame([(bytearray(blob),)], "blob binary").coalesce(1).write.mode("overwrite").parquet(path)
-    return blob
+
+def remembered(spark: SparkSession, key: str, make: Callable[[], bytes]) -> bytes:
+    """What ``make`` returns, made once per ``key`` and kept in the shared folder, so that several queries share a fitted model."""
+    return bytes(remembered_table(spark, key, lambda: spark.createDataFrame([(bytearray(make()),)], "blob binary").coalesce(1)).first().blob)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A key of all rows of ``df``, by one pass over them; the order of rows does not matter."""
+    from pyspark.sql import functions as F
+
+    row = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns])
+    other = F.xxhash64(row, F.lit(1))
+    seen = df.agg(F.count(F.lit(1)), F.bit_xor(row), F.bit_xor(other), F.sum(F.pmod(row, F.lit(2**31 - 1))), F.sum(F.pmod(other, F.lit(2**31 - 1)))).first()
+    return hashlib.sha256(repr(tuple(seen)).encode()).hexdigest()[:32]
