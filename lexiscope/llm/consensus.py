@@ -7,7 +7,8 @@ One class (the label true) stands against the rest. An edge joins an item and an
   *other* items: sensitivity and false-alarm rate, each with a weak prior, so a careless annotator weighs nothing, one
   who always says yes weighs little when saying so, and one who inverts counts inverted.
 
-Rounds go on until the messages stand still. Sums per annotator are combined map-side, so an annotator with a third of all
+Rounds go on until every message stands still, the largest step counting; after ``DAMP_AFTER`` rounds a message only goes half
+way, which ends swings. What has not settled after ``MAX_ROUNDS`` is told: each item has the flag ``converged``. Sums per annotator are combined map-side, so an annotator with a third of all
 votes is one row per task. Each round is written to the shared folder.
 
 Defined cases: null votes, items or annotators are no edge; repeated rows count once, and contradicting votes of one
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from lexiscope.session import cut_lineage
 
 MAX_ROUNDS = 40
-TOLERANCE = 5e-4
+DAMP_AFTER = 12
+TOLERANCE = 5e-3
 START_SLOPE = 12.0
 PRIOR_RIGHT, PRIOR_WRONG = 3.0, 1.0
 
@@ -60,34 +62,36 @@ def pass_messages(edges: DataFrame) -> DataFrame:
     others = (F.col("yes") - F.col("vote").cast("double") + 0.5) / F.col("n")
     start = 1 / (1 + F.exp(-START_SLOPE * (others - 0.5)))  # a sharp start: from a flat one the rounds would creep
     messages = cut_lineage(edges.join(by_item, "item_id").select("item_id", "annotator", "vote", start.alias("p")))
-    for _ in range(MAX_ROUNDS):
+    share = messages.agg(F.avg("p")).first()[0]
+    if share is None:
+        return messages.withColumns({"llr": F.lit(0.0), "total": F.lit(0.0), "p_before": F.col("p")})
+    for turn in range(MAX_ROUNDS):
         sums = _annotator_sums(messages)
         sens, alarm = _rates()
         llr = F.when(F.col("vote"), F.log(sens / alarm)).otherwise(F.log(F.greatest(1 - sens, F.lit(1e-6)) / F.greatest(1 - alarm, F.lit(1e-6))))
         weighed = messages.join(sums, "annotator").select("item_id", "annotator", "vote", F.col("p").alias("p_before"), llr.alias("llr"))
-        share = messages.agg(F.avg("p")).first()[0]
-        if share is None:
-            return messages.withColumn("llr", F.lit(0.0)).withColumn("total", F.lit(0.0))
         share = min(max(share, 1e-6), 1 - 1e-6)
         prior = F.lit(math.log(share / (1 - share)))
         totals = weighed.groupBy("item_id").agg(F.sum("llr").alias("weight"))
         joined = weighed.join(totals, "item_id")
         total = F.col("weight") + prior
-        messages = cut_lineage(joined.select("item_id", "annotator", "vote", "llr", "p_before", total.alias("total"), (1 / (1 + F.exp(-(total - F.col("llr"))))).alias("p")))
-        moved = messages.agg(F.avg(F.abs(F.col("p") - F.col("p_before")))).first()[0]
-        if moved is None or moved < TOLERANCE:
+        fresh = 1 / (1 + F.exp(-(total - F.col("llr"))))
+        p = fresh if turn < DAMP_AFTER else (fresh + F.col("p_before")) / 2
+        messages = cut_lineage(joined.select("item_id", "annotator", "vote", "llr", "p_before", total.alias("total"), p.alias("p")))
+        share, moved = messages.agg(F.avg("p"), F.max(F.abs(F.col("p") - F.col("p_before")))).first()
+        if moved < TOLERANCE:
             break
     return messages
 
 
 def item_labels(messages: DataFrame) -> DataFrame:
-    """(item_id, label, probability, agreement, n_votes): agreement is the share of pairs of votes that agree, 1 for one vote."""
+    """(item_id, label, probability, agreement, n_votes, converged): agreement is the share of pairs of votes that agree, 1 for one vote."""
     n, yes = F.col("n_votes").cast("double"), F.col("yes").cast("double")
     same = (yes * (yes - 1) + (n - yes) * (n - yes - 1)) / (n * (n - 1))
-    out = messages.groupBy("item_id").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("n_votes"), F.sum(F.col("vote").cast("int")).alias("yes"))
+    out = messages.groupBy("item_id").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("n_votes"), F.sum(F.col("vote").cast("int")).alias("yes"), F.max(F.abs(F.col("p") - F.col("p_before"))).alias("moved"))
     return out.select(
         "item_id", F.when(F.col("total") != 0, F.col("total") > 0).alias("label"), (1 / (1 + F.exp(-F.col("total")))).alias("probability"),
-        F.when(F.col("n_votes") > 1, same).otherwise(1.0).alias("agreement"), "n_votes",
+        F.when(F.col("n_votes") > 1, same).otherwise(1.0).alias("agreement"), "n_votes", (F.col("moved") < TOLERANCE).alias("converged"),
     )
 
 

@@ -33,3 +33,35 @@ def test_empty_and_ties(spark):
     w = spark.createDataFrame([("x", None, None, None, True, "l", "p"), ("y", True, True, None, None, "l", "p")], WIDE)
     labels = C.item_labels(C.pass_messages(C.vote_edges(w, n)))
     assert [x.item_id for x in labels.collect()] == ["y"] and C.wrong_gold(w, labels).count() == 0
+
+
+def by_hand(votes, rounds):
+    """The same messages over lists: votes are (item, annotator, vote)."""
+    from math import exp, log
+
+    own = {}
+    for i, a, v in votes:
+        own.setdefault(i, []).append(v)
+    p = [1 / (1 + exp(-C.START_SLOPE * ((sum(own[i]) - v + 0.5) / len(own[i]) - 0.5))) for i, a, v in votes]
+    for _ in range(rounds):
+        share = sum(p) / len(p)
+        llr = []
+        for k, (_, a, v) in enumerate(votes):
+            rest = [(p[m], x[2]) for m, x in enumerate(votes) if x[1] == a and m != k]
+            sens = (sum(q for q, x in rest if x) + C.PRIOR_RIGHT) / (sum(q for q, _ in rest) + C.PRIOR_RIGHT + C.PRIOR_WRONG)
+            alarm = (sum(1 - q for q, x in rest if x) + C.PRIOR_WRONG) / (sum(1 - q for q, _ in rest) + C.PRIOR_RIGHT + C.PRIOR_WRONG)
+            llr.append(log(sens / alarm) if v else log((1 - sens) / (1 - alarm)))
+        total = {i: log(share / (1 - share)) + sum(x for x, w in zip(llr, votes) if w[0] == i) for i in own}
+        p = [1 / (1 + exp(-(total[i] - x))) for x, (i, _, _) in zip(llr, votes)]
+    return {i: 1 / (1 + exp(-t)) for i, t in total.items()}
+
+
+def test_messages_against_lists(spark, monkeypatch):
+    r = random.Random(8)
+    votes = sorted({(f"i{r.randint(0, 30)}", f"a{r.randint(0, 5)}", r.random() < 0.6) for _ in range(120)})
+    monkeypatch.setattr(C, "MAX_ROUNDS", 3)
+    monkeypatch.setattr(C, "TOLERANCE", 0.0)
+    got = {x.item_id: x for x in C.item_labels(C.pass_messages(spark.createDataFrame(votes, "item_id string, annotator string, vote boolean"))).collect()}
+    want = by_hand(votes, 3)
+    assert got.keys() == want.keys() and all(abs(got[i].probability - want[i]) < 1e-9 for i in want)
+    assert not any(x.converged for x in got.values())  # rounds that end early are told
