@@ -39,17 +39,17 @@ def p9_fill(spark, root):
 
 @query("p10_found")
 def p10_found(spark, root):
-    return repetition.rejected(repetition.ledger(load(spark, root, "documents"))).select("doc_id")
+    return repetition.rejected(repetition.stored_ledger(load(spark, root, "documents"))).select("doc_id")
 
 
 @query("p10_ledger")
 def p10_ledger(spark, root):
-    return repetition.ledger(load(spark, root, "documents"))
+    return repetition.stored_ledger(load(spark, root, "documents"))
 
 
 @query("p10_ablations")
 def p10_ablations(spark, root):
-    return repetition.ablations(repetition.ledger(load(spark, root, "documents")))
+    return repetition.ablations(repetition.stored_ledger(load(spark, root, "documents")))
 
 
 @query("p1_found")

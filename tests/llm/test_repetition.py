@@ -55,3 +55,36 @@ def test_ledger_and_policies(spark):
     assert ab["two_fifths", 1, None] == 2 and ab["two_fifths", 1, "repeated_words"] == 0
     assert ab["strict", 2, None] >= ab["strict", 1, None] >= 2
     assert R.ledger(df.limit(0)).count() == 0
+
+
+def brute_share(text):
+    """Share of words in a window of six that stood earlier, gaps of up to three between two such stretches included."""
+    words = R.WORD.findall(R.DIGITS.sub("0", text.lower()))
+    covered = [False] * len(words)
+    for i in range(len(words) - 5):
+        if any(words[j : j + 6] == words[i : i + 6] for j in range(i)):
+            covered[i : i + 6] = [True] * 6
+    marks = [i for i, c in enumerate(covered) if c]
+    for a, b in zip(marks, marks[1:]):
+        if 1 < b - a <= 4:
+            covered[a:b] = [True] * (b - a)
+    return sum(covered) / len(words) if words else 0.0
+
+
+def test_share_against_every_pair():
+    r = random.Random(12)
+    for _ in range(60):
+        parts = [" ".join(r.choice("a b c d e".split()) for _ in range(r.randint(3, 12))) for _ in range(4)]
+        text = ". ".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        assert abs(R.measure(text)[1] - brute_share(text)) < 1e-9
+
+
+def test_ledger_is_stored_once(spark, monkeypatch):
+    calls = []
+    real = R.ledger
+    monkeypatch.setattr(R, "ledger", lambda *a: calls.append(1) or real(*a))
+    docs = spark.createDataFrame([(1, "so it is " * 30), (2, None), (3, "")], "doc_id bigint, text string")
+    books = [R.stored_ledger(docs) for _ in range(2)]
+    assert len(calls) == 1 and sorted(map(tuple, books[0].collect())) == sorted(map(tuple, books[1].collect())) == sorted(map(tuple, real(docs).collect()))
+    R.stored_ledger(docs.where("doc_id > 1"))
+    assert len(calls) == 2
