@@ -27,6 +27,12 @@ def p8_ids(spark, root):
     return tokenize.encode_corpus(load(spark, root, "documents"))
 
 
+@query("p8_round_trip", "SELECT doc_id, true AS same FROM documents")
+def p8_round_trip(spark, root):
+    """Every document, and whether decoding its ids gives its text back."""
+    return tokenize.round_trip(load(spark, root, "documents")).select("doc_id", "same")
+
+
 @query("p9_placements")
 def p9_placements(spark, root):
     return packing.pack(load(spark, root, "documents"), load(spark, root, "pack_capacities"))

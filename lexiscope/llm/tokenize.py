@@ -18,18 +18,23 @@ Null and empty texts have the ids []. Special tokens are ordinary text.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: fixed value: the public pre-splitting pattern of this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: words and arcs that a worker keeps; beyond that it forgets them and resolves them again
 KEPT_WORDS = 200_000
+KEPT_ARCS = 2_000_000
 
 
 def byte_letters() -> str:
@@ -39,10 +44,9 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
 
 
-def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+def read_vocabulary(content: bytes) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Token ids and merges in order of rank."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = json.loads(content)["model"]
     return model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
 
 
@@ -86,12 +90,15 @@ class Automaton:
         self.tokens = {*self.letters, *self.parts}
         self.arc: dict[tuple[str, str], bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.labels: dict[int, bytes] | None = None
 
     def allows(self, left: str, right: str) -> bool:
         """Whether the state after ``left`` has the arc ``right``: no gadget that made the two labels removed it."""
         key = (left, right)
         known = self.arc.get(key)
         if known is None:
+            if len(self.arc) >= KEPT_ARCS:
+                self.arc.clear()
             known = self.arc[key] = self._resolve(left, right)
         return known
 
@@ -145,27 +152,39 @@ class Automaton:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        labels = {i: t for t, i in self.ids.items()}
-        byte = {c: b for b, c in enumerate(self.letters)}
-        return bytes(byte[c] for i in ids for c in labels[i]).decode("utf-8")
+        if self.labels is None:
+            byte = {c: b for b, c in enumerate(self.letters)}
+            self.labels = {i: bytes(byte[c] for c in t) for t, i in self.ids.items() if all(c in byte for c in t)}
+        return b"".join(self.labels[i] for i in ids).decode("utf-8")
 
 
 _loaded: dict[str, Automaton] = {}
 
 
-def automaton(path: str = TOKENIZER) -> Automaton:
+def _packed(path: str) -> tuple[str, bytes]:
+    """The vocabulary as it travels to the workers: a key and the compressed content."""
+    content = Path(path).read_bytes()
+    return hashlib.sha256(content).hexdigest(), zlib.compress(content, 6)
+
+
+def _automaton_of(key: str, packed: bytes) -> Automaton:
     """One automaton per process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = Automaton(*read_vocabulary(path))
-    return _loaded[path]
+    if key not in _loaded:
+        _loaded[key] = Automaton(*read_vocabulary(zlib.decompress(packed)))
+    return _loaded[key]
+
+
+def automaton(path: str = TOKENIZER) -> Automaton:
+    return _automaton_of(*_packed(path))
 
 
 def encode(text: Column | str, path: str = TOKENIZER) -> Column:
     """Ids of each text, [] for null and empty ones."""
+    vocabulary = _packed(path)
 
     @F.pandas_udf(ArrayType(IntegerType(), containsNull=False))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = automaton(path)
+        own = _automaton_of(*vocabulary)
         for texts in batches:
             yield pd.Series([own.encode(t) for t in texts], dtype=object)
 
@@ -174,16 +193,36 @@ def encode(text: Column | str, path: str = TOKENIZER) -> Column:
 
 def count_tokens(text: Column | str, path: str = TOKENIZER) -> Column:
     """Number of ids of each text, 0 for null and empty ones."""
+    vocabulary = _packed(path)
 
     @F.pandas_udf(IntegerType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = automaton(path)
+        own = _automaton_of(*vocabulary)
         for texts in batches:
             yield pd.Series([len(own.encode(t)) for t in texts], dtype="int32")
 
     return count(F.col(text) if isinstance(text, str) else text)
 
 
+def decode(ids: Column | str, path: str = TOKENIZER) -> Column:
+    """The text of each list of ids, by the labels of its arcs; '' for no ids and null for null."""
+    vocabulary = _packed(path)
+
+    @F.pandas_udf(StringType())
+    def labels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = _automaton_of(*vocabulary)
+        for lists in batches:
+            yield pd.Series([None if x is None else own.decode(x) for x in lists], dtype=object)
+
+    return labels(F.col(ids) if isinstance(ids, str) else ids)
+
+
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
     """(id, ids) of every row. One narrow stage: no shuffle, and a row's cost follows its own length."""
     return docs.select(id_col, encode(F.col(text_col), path).alias("ids"))
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
+    """(id, n_ids, same) of every row: whether decoding gives the text back; a null text comes back empty."""
+    coded = docs.select(id_col, text_col, encode(F.col(text_col), path).alias("ids"))
+    return coded.select(id_col, F.size("ids").alias("n_ids"), (decode("ids", path) == F.coalesce(F.col(text_col), F.lit(""))).alias("same"))
