@@ -52,6 +52,7 @@ def test_truncation(spark, make_occurrences):
             cut.add(str(i))
         rows.append(dict(repo_full_name="a/b", artifact_type="pr_body", artifact_id=str(i), matched_expression="x", body_text=t))
     fence = [dict(repo_full_name="a/b", artifact_type="pr_body", artifact_id="fence", matched_expression="x", body_text="so\n```\nx = 1;")]
+    rows += [dict(repo_full_name="a/b", artifact_type="pr_body", artifact_id=f"whole{k}", matched_expression="x", body_text=f"{prose(r, 3)}\n```\nx = {k};\ny = 2;\n```\n{prose(r, 2)}") for k in range(60)]
     odd = [dict(repo_full_name=None, artifact_type=None, artifact_id=f"odd{k}", matched_expression=None, body_text=b) for k, b in enumerate([None, "", " \n", "ok."])]
     df = make_occurrences(rows + rows[:3] + fence + odd)
     got = {x.artifact_id for x in truncation.detect(df).where("is_cut").collect()}
