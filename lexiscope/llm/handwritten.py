@@ -8,6 +8,11 @@ A file is (repository, path); artifact_id is ``path:line``. A file is not hand-w
 * ``vendored`` / ``generated`` / ``minified``: its path is one that tools and package managers write to, or
 * ``generated`` / ``minified`` / ``data``: its text is marked by a generator, has the shape of minified code, or is a table.
 
+The three kinds of evidence find different files. Winnowing finds code that recurs, whatever its place and marks; it cannot
+find what stands once, and a generated, minified or data file usually does, as does a window of a vendored file that no other
+repository here holds. For those the shape of the text, the generator's own mark and the folder are all there is to go by.
+``evidence`` tells them apart, ``evidence_report`` counts them, and ``kinds`` leaves any of them out.
+
 Fingerprints: words of the code without comment lines, indentation and punctuation, shingles of five words, the minimum
 hash of each window of four. Shingles that recur everywhere (loop headers) are evidence only together: the share decides.
 
@@ -122,35 +127,57 @@ def code_records(occurrences: DataFrame) -> DataFrame:
 def copied_files(records: DataFrame) -> DataFrame:
     """(repo_full_name, path) of files with a record whose fingerprints largely recur in unrelated repositories.
 
-    Fingerprints are counted over distinct (fingerprint, repository name) and (fingerprint, path) pairs, both combined
-    map-side, so a fingerprint that sits in a third of all rows arrives as one row per task and name. Counts go back to
-    the records over the fingerprint; the counts' side has one row per key, so adaptive execution splits a hot key freely.
-    Texts are reduced to one row per (text, repository, path) first.
+    Fingerprints belong to texts: a text that a third of all records share is one row here. They are counted over distinct
+    (fingerprint, repository name) and (fingerprint, path) pairs, both combined map-side, so a fingerprint of many records
+    arrives as one row per task and name. A text's share of recurring fingerprints is summed map-side too, over a join whose
+    right side has one row per fingerprint; texts that are copies go back to their records by a join on the text, again with
+    one row per key on the right.
     """
-    # the counts and the records both need the fingerprints: they are made once and written, without the texts
+    # the counts, the texts and the records all need the fingerprints: they are made once and written, without the texts
     prints = cut_lineage(records.select(
         "repo_full_name", "path", F.xxhash64("body_text").alias("text_id"),
         F.pandas_udf(_winnow_all, "array<bigint>")(F.col("body_text")).alias("prints"),
     ).where(F.size("prints") > 0))
     name = F.lower(F.regexp_replace(F.regexp_replace(F.trim("repo_full_name"), r"%2[Ff]", "/"), r"(/tree/[^/]*)?(\.git)?/*\s*$", ""))
-    flat = prints.select(
-        "repo_full_name", "path", "text_id", F.size("prints").alias("n"), F.explode("prints").alias("print"),
-        F.regexp_extract(name, r"([^/\s]+)$", 1).alias("name"),
-    )
+    flat = prints.select("path", F.explode("prints").alias("print"), F.regexp_extract(name, r"([^/\s]+)$", 1).alias("name"))
     by_name = flat.select("print", "name").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("names"))
     by_path = flat.select("print", "path").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("paths"))
     recurring = by_name.where(F.col("names") >= MIN_REPOSITORIES).join(by_path.where(F.col("paths") >= MIN_REPOSITORIES), "print").select("print")
-    hits = flat.join(recurring, "print").groupBy("repo_full_name", "path", "text_id").agg(F.countDistinct("print").alias("hits"), F.max("n").alias("n"))
-    return hits.where(F.col("hits") >= COPY_SHARE * F.col("n")).select("repo_full_name", "path").distinct()
+    texts = prints.select("text_id", F.size("prints").alias("n"), F.explode("prints").alias("print")).distinct()
+    hits = texts.join(recurring, "print").groupBy("text_id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"))
+    copies = hits.where(F.col("hits") >= COPY_SHARE * F.col("n")).select("text_id")
+    return prints.select("repo_full_name", "path", "text_id").join(copies, "text_id", "left_semi").select("repo_full_name", "path").distinct()
+
+
+#: kinds of evidence, from the strongest; a file's reason is the first that holds
+EVIDENCE = ["copy", "text", "path"]
+
 
+def evidence(occurrences: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(repo_full_name, path, copy, text, path_class) of every file with some evidence of ``kinds`` (all by default).
 
-def classify(occurrences: DataFrame) -> DataFrame:
-    """(repo_full_name, path, reason) of every file that is not hand-written; reason is the first that applies."""
+    ``copy``: whether its fingerprints recur; ``text`` and ``path_class``: generated, minified, data, vendored or null. The
+    path lists are a prior that can be left out: ``kinds=["copy", "text"]``.
+    """
+    kinds = EVIDENCE if kinds is None else kinds
     records = code_records(occurrences)
-    evidence = F.coalesce(path_evidence(F.col("path")), text_evidence(F.col("body_text")))
-    shown = records.select("repo_full_name", "path", evidence.alias("reason")).where(F.col("reason").isNotNull())
-    copied = copied_files(records).withColumn("reason", F.lit("copy"))
-    return shown.unionByName(copied).groupBy("repo_full_name", "path").agg(F.min("reason").alias("reason"))
+    none = F.lit(None).cast("string")
+    by_path, by_text = path_evidence(F.col("path")) if "path" in kinds else none, text_evidence(F.col("body_text")) if "text" in kinds else none
+    out = records.select("repo_full_name", "path", F.lit(False).alias("copy"), by_text.alias("text"), by_path.alias("path_class")).where(F.col("text").isNotNull() | F.col("path_class").isNotNull())
+    if "copy" in kinds:
+        out = out.unionByName(copied_files(records).select("repo_full_name", "path", F.lit(True).alias("copy"), none.alias("text"), none.alias("path_class")))
+    return out.groupBy("repo_full_name", "path").agg(F.max("copy").alias("copy"), F.min("text").alias("text"), F.min("path_class").alias("path_class"))
+
+
+def classify(occurrences: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """(repo_full_name, path, reason) of every file that is not hand-written; reason is the first kind of evidence that holds."""
+    reason = F.when(F.col("copy"), "copy").otherwise(F.coalesce("text", "path_class"))
+    return evidence(occurrences, kinds).select("repo_full_name", "path", reason.alias("reason"))
+
+
+def evidence_report(occurrences: DataFrame) -> DataFrame:
+    """(path_class, text, copy, files): how many files each combination of evidence found."""
+    return evidence(occurrences).groupBy("path_class", "text", "copy").agg(F.count(F.lit(1)).alias("files"))
 
 
 def found_records(occurrences: DataFrame) -> DataFrame:

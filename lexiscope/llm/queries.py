@@ -68,6 +68,12 @@ def p1_files(spark, root):
     return handwritten.classify(load(spark, root, "occurrences"))
 
 
+@query("p1_evidence")
+def p1_evidence(spark, root):
+    """How many files each combination of evidence found."""
+    return handwritten.evidence_report(load(spark, root, "occurrences"))
+
+
 @query("p1_hand_written")
 def p1_hand_written(spark, root):
     kept = handwritten.hand_written(load(spark, root, "occurrences"))

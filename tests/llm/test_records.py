@@ -31,6 +31,18 @@ def test_hand_written(spark, make_occurrences):
     assert handwritten.found_records(df.limit(0)).count() == 0
 
 
+def test_copies_need_no_path_lists(spark, make_occurrences):
+    r = random.Random(21)
+    libs = [code(r, 9) for _ in range(12)]
+    rows = [dict(repo_full_name=f"o{k}-{i}/p{k}{i}", artifact_type="code_comment", artifact_id=f"{WORDS[i]}/lib{k}.c:{i}", body_text=f"  // note {i}\n" + lib) for k, lib in enumerate(libs) for i in range(4)]
+    own = [dict(repo_full_name=f"q{i}/w{i}", artifact_type="code_comment", artifact_id=f"vendor/own{i}.c:4", body_text=code(r, 9)) for i in range(30)]
+    df = make_occurrences(rows + own + rows)
+    got = {(x.repo_full_name, x.path) for x in handwritten.classify(df, ["copy"]).collect()}
+    assert got == {(x["repo_full_name"], x["artifact_id"].rsplit(":", 1)[0]) for x in rows}
+    assert handwritten.classify(df, ["copy", "text"]).count() == len(rows) and handwritten.classify(df).count() == len(rows) + len(own)
+    assert sorted((x.path_class, x.copy, x.files) for x in handwritten.evidence_report(df).collect() if x.path_class) == [("vendored", False, 30)]
+
+
 def test_winnowing_finds_shifted_copies():
     r = random.Random(2)
     text = code(r, 12)
