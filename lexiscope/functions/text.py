@@ -219,3 +219,18 @@ MASK_LABELS = [label for label, *_ in MASKS] + ["mention"]
 
 def mask_count(masked: Column | str, label: str) -> Column:
     return F.regexp_count(col(masked), F.lit(rf"\[PII_{label.upper()}_REDACTED\]"))
+
+
+#: fixed values: the labels a judge may give, by the word used
+REPLY_LABELS = {"accept": "UBW-verdadeiro", "ubw-verdadeiro": "UBW-verdadeiro", "reject": "não-UBW", "não-ubw": "não-UBW", "unsure": "incerto", "incerto": "incerto"}
+
+
+def reply_label(raw) -> Column:
+    """The label in a judge's reply: JSON with a text ``label``, which may be fenced; all else is 'incerto', as is null."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    bare = F.regexp_replace(F.regexp_replace(raw, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", "")
+    # a variant keeps the type of the label, which must be text
+    label = F.try_variant_get(F.try_parse_json(bare), "$.label", "string")
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(bare), "$.label", "variant")) == "STRING"
+    mapped = F.try_element_at(F.create_map(*[F.lit(x) for kv in REPLY_LABELS.items() for x in kv]), F.lower(F.trim(label)))
+    return F.coalesce(F.when(is_text, mapped), F.lit("incerto"))

@@ -10,7 +10,9 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 200_000
+from lexiscope.session import cut_lineage
+
+MAX_QUERIES = 50_000
 
 
 def tokens(text: str):
@@ -38,13 +40,22 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 1) -> DataF
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the ``k`` rows with the largest cosine for every query, itself left out.
 
-    The stated queries are split into blocks of bounded size, each block meets every row once as a matrix product, each
-    task keeps k per query, and the final rank sees tasks times k rows per query. Exact.
+    The stated queries are split by hash into blocks of about ``MAX_QUERIES``; each block meets every row once as a matrix
+    product, each task keeps k per query, and the final rank sees tasks times k rows per query. Exact. The driver holds one
+    block at a time, and a block's result is written before the next is read.
     """
     q = queries.select(id_col, vec_col)
-    if q.count() > MAX_QUERIES:
-        raise ValueError("more queries than fit in memory; call with parts of them")
-    frame = q.toPandas()
+    blocks = max(1, -(-q.count() // MAX_QUERIES))
+    out = None
+    for b in range(blocks):
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
+        found = _nearest_of_block(vectors, own.toPandas(), k, id_col, vec_col)
+        found = found if blocks == 1 else cut_lineage(found)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_of_block(vectors: DataFrame, frame: pd.DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
     ids = frame[id_col].to_numpy(np.int64)
     block = np.array(frame[vec_col].tolist(), dtype=np.float32).reshape(len(frame), -1)
     block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)

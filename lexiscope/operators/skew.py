@@ -105,6 +105,11 @@ def balanced_join(facts: DataFrame, side: DataFrame, key: str, within: list[str]
     return shard_facts(facts, key, within, plan).join(replicate(side, key, plan), [key, "_shard"], how).drop("_shard")
 
 
+def joined_evenly(facts: DataFrame, side: DataFrame, key: str, within: list[str]) -> DataFrame:
+    """``balanced_join`` with a plan made from the loads of ``facts``; rows without a match have null."""
+    return balanced_join(facts, side, key, within, plan_shards(key_loads(facts, key), tasks_for(facts)))
+
+
 def key_profile(facts: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
     """Rows, distinct artifacts and lifetimes of every key.
 

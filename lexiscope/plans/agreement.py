@@ -231,6 +231,16 @@ def judge_measures(df):
     )
 
 
+def agreement_by_class(df):
+    """``judge_measures`` with AC1 and how often a judge agrees on positives and on negatives, each with its Wilson interval."""
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    out = df.withColumn("ac1", S.ac1(tp, fp, fn, tn))
+    for name, k, n in (("positives", tp, tp + fn), ("negatives", tn, tn + fp)):
+        low, high = S.wilson(k, n)
+        out = out.withColumns({f"on_{name}": S.ratio(k, n), f"on_{name}_low": low, f"on_{name}_high": high})
+    return out
+
+
 JM = f"tn / nullif(alerts, 0)::DOUBLE AS alert_precision, tn / nullif(negatives, 0)::DOUBLE AS coverage, (tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE AS accuracy, {MCC} AS mcc, {K2} AS kappa, {KPEN} AS kappa_penalised"
 
 
@@ -239,6 +249,19 @@ def agg_judge_metrics(spark, root):
     return judge_measures(judged(spark, root).groupBy("rater").agg(*judge_cells()))
 
 
+AC1 = "((tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE - 2 * q * (1 - q)) / nullif(1 - 2 * q * (1 - q), 0)"
+POS, NEG = wilson_sql("tp", "(tp + fn)"), wilson_sql("tn", "(tn + fp)")
+
+
+@query("agg_judge_report", f"""SELECT rater, tp, fp, fn, tn, {AC1} AS ac1, tp / nullif(tp + fn, 0)::DOUBLE AS on_positives, {POS[0]} AS on_positives_low, {POS[1]} AS on_positives_high,
+ tn / nullif(tn + fp, 0)::DOUBLE AS on_negatives, {NEG[0]} AS on_negatives_low, {NEG[1]} AS on_negatives_high
+ FROM (SELECT *, (2 * tp + fp + fn) / nullif(2 * (tp + fp + fn + tn), 0)::DOUBLE AS q FROM {JUDGES})""")
+def agg_judge_report(spark, root):
+    """AC1 and the agreement in either direction, beside the measures of agg_judge_metrics."""
+    rows = agreement_by_class(agg_judge_metrics(spark, root))
+    return rows.select("rater", "tp", "fp", "fn", "tn", "ac1", *[f"on_{c}{x}" for c in ("positives", "negatives") for x in ("", "_low", "_high")])
+
+
 @query("fn_mcc", f"SELECT rater, {MCC} AS mcc FROM {JUDGES}")
 def fn_mcc(spark, root):
     return agg_judge_metrics(spark, root).select("rater", "mcc")
@@ -329,17 +352,23 @@ def win_rank_judges(spark, root):
 
 @query("agg_bootstrap_ci")
 def agg_bootstrap_ci(spark, root):
-    """Percentile interval of each judge's alert precision over 2000 resamples.
+    """Percentile interval of each judge's alert precision over 2000 resamples."""
+    return resampled(agg_judge_metrics(spark, root).where("alerts > 0").select("rater", "alerts", F.col("tn").alias("right")))
+
+
+def resampled(judges, runs=2000):
+    """(rater, low, high): percentiles of the share right over resamples of each judge's alerts.
 
-    The draws of a resample from n alerts with k right ones have a binomial number of right ones; it is drawn by counting
-    hash-derived numbers below k / n, so no resample is built row by row beyond the judge's own alerts.
+    A resample draws as many alerts as there are, with replacement: draw i of a run takes the alert whose place is a hash of
+    (rater, run, i), the right ones standing first. Draws are made by ten thousand and counted where they are made, so no
+    list of a judge's alerts is held anywhere.
     """
-    j = agg_judge_metrics(spark, root).where("alerts > 0").select("rater", "alerts", F.col("tn").alias("right"))
-    runs = j.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(2000)))).withColumn("p", F.col("right") / F.col("alerts"))
-    u = lambda i, salt: (F.pmod(F.xxhash64("rater", "run", F.lit(salt)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    normal = F.sqrt(-2 * F.log(u(0, 1))) * F.cos(2 * 3.141592653589793 * u(0, 2))
-    drawn = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + normal * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("alerts"))))
-    return runs.withColumn("x", drawn).groupBy("rater").agg(F.percentile("x", F.lit(0.025)).alias("low"), F.percentile("x", F.lit(0.975)).alias("high"))
+    size = 10_000
+    parts = judges.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("alerts") - 1) / size)))).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    draws = parts.repartition("rater", "run").withColumn("i", F.explode(F.sequence(F.col("part") * size, F.least(F.col("alerts"), (F.col("part") + 1) * size) - 1)))
+    hit = F.pmod(F.xxhash64("rater", "run", "i"), F.col("alerts")) < F.col("right")
+    share = draws.groupBy("rater", "run").agg((F.count_if(hit) / F.count(F.lit(1))).alias("x"))
+    return share.groupBy("rater").agg(F.percentile("x", F.lit(0.025)).alias("low"), F.percentile("x", F.lit(0.975)).alias("high"))
 
 
 @query("agg_error_breakdown", f"""
@@ -351,6 +380,14 @@ def agg_error_breakdown(spark, root):
     return e.groupBy("artifact").agg(F.count(F.lit(1)).alias("n"), F.sum("error").alias("n_errors"), F.avg("error").alias("rate"), F.count_if((F.col("error") == 1) & F.col("disputed")).alias("n_disputed"))
 
 
+@query("agg_error_phrases", f"""SELECT expression, count(*) AS n, sum(error)::BIGINT AS n_errors, avg(error) AS rate, count(DISTINCT item_id) AS n_items FROM {ERR} e JOIN {ART} t USING (item_id) GROUP BY expression HAVING count(DISTINCT item_id) >= 5""")
+def agg_error_phrases(spark, root):
+    """Error rate of the judges by phrase, for phrases of five or more items."""
+    e = errors(spark, root).join(items(spark, root).select("item_id", "expression"), "item_id")
+    out = e.groupBy("expression").agg(F.count(F.lit(1)).alias("n"), F.sum("error").alias("n_errors"), F.avg("error").alias("rate"), F.count_distinct("item_id").alias("n_items"))
+    return out.where("n_items >= 5")
+
+
 @query("agg_run_status", f"SELECT rater, count(*) AS n_items, (SELECT count(DISTINCT item_id) FROM annotations_long) - count(*) AS n_missing, count(*) FILTER (WHERE vote IS NULL) AS n_abstained FROM {V} GROUP BY rater")
 def agg_run_status(spark, root):
     v = votes(spark, root)

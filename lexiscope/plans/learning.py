@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions import stats as S
 from lexiscope.operators import learning as M
-from lexiscope.plans.agreement import JUDGE_NAMES, gold, votes
+from lexiscope.plans.agreement import ERR, JUDGE_NAMES, errors, gold, items, votes
 from lexiscope.plans.registry import query
 from lexiscope.session import cut_lineage
 from lexiscope.sources.tables import load
@@ -43,20 +43,22 @@ def ml_knn_exemplars(spark, root):
 
 
 def vote_features(spark, root):
-    """(item_id, label, features): votes of all judges as 1, -1 or 0, and the number of alerts."""
+    """(item_id, label, features): votes of all judges as 1, -1 or 0, alerts, length of the text, codes of phrase and kind of artifact.
+
+    Codes are places in the order of the values, which are few.
+    """
     from pyspark.ml.feature import VectorAssembler
 
     v = votes(spark, root).withColumn("x", F.when(F.col("vote"), 1).when(~F.col("vote"), -1).otherwise(0))
     wide = v.groupBy("item_id").pivot("rater", JUDGE_NAMES).agg(F.max("x")).na.fill(0)
     alerts = sum(((F.col(j) == -1).cast("int") for j in JUDGE_NAMES), F.lit(0))
-    rows = gold(spark, root).join(wide.withColumn("alerts", alerts), "item_id").withColumn("label", F.col("gold").cast("double"))
-    return VectorAssembler(inputCols=[*JUDGE_NAMES, "alerts"], outputCol="features").transform(rows).select("item_id", "label", "features")
-
-
-def _fit(spark, root, model):
-    rows = M.with_class_weight(vote_features(spark, root)).withColumn("fold", M.fold_of("item_id", "label", 0)).persist()
-    out = M.confusion(model.fit(rows.where("fold > 0")).transform(rows.where("fold = 0")))
-    return out.withColumn("kappa", S.kappa2(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))).withColumn("mcc", S.mcc(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
+    length = item_texts(spark, root).select("item_id", "label", F.length("text").alias("body_len"))
+    about = items(spark, root)
+    for name in ("artifact", "expression"):
+        codes = about.select(name).distinct().withColumn(f"{name}_code", F.dense_rank().over(Window.orderBy(name)))  # kinds and phrases: a few dozen
+        about = about.join(F.broadcast(codes), name, "left")
+    rows = length.join(wide.withColumn("alerts", alerts), "item_id").join(about.select("item_id", "artifact_code", "expression_code"), "item_id", "left").na.fill(0)
+    return VectorAssembler(inputCols=[*JUDGE_NAMES, "alerts", "body_len", "artifact_code", "expression_code"], outputCol="features").transform(rows).select("item_id", "label", "features")
 
 
 def item_texts(spark, root):
@@ -91,6 +93,19 @@ def ml_tfidf_texts(spark, root):
     return M.tfidf(item_texts(spark, root), "item_id", "text", 2)
 
 
+ERROR_LENGTHS_SQL = TFIDF_TEXTS_SQL.split(",\nw AS")[0] + f""", e AS {ERR}
+SELECT rater, count(*) FILTER (WHERE error = 0) AS n_right, count(*) FILTER (WHERE error = 1) AS n_wrong,
+ quantile_cont(length(body)::DOUBLE, 0.5) FILTER (WHERE error = 0) AS median_right, quantile_cont(length(body)::DOUBLE, 0.5) FILTER (WHERE error = 1) AS median_wrong FROM e JOIN x USING (item_id) GROUP BY rater"""
+
+
+@query("agg_error_lengths", ERROR_LENGTHS_SQL)
+def agg_error_lengths(spark, root):
+    """Median length of the texts that each judge got right, and of those it got wrong."""
+    e = errors(spark, root).join(item_texts(spark, root).select("item_id", F.length("text").cast("double").alias("length")), "item_id")
+    right, wrong = (F.when(F.col("error") == k, F.col("length")) for k in (0, 1))
+    return e.groupBy("rater").agg(F.count(right).alias("n_right"), F.count(wrong).alias("n_wrong"), F.percentile(right, F.lit(0.5)).alias("median_right"), F.percentile(wrong, F.lit(0.5)).alias("median_wrong"))
+
+
 def logistic(n):
     """The penalty is half the squared weights against the summed loss, of ``n`` training rows."""
     from pyspark.ml.classification import LogisticRegression
@@ -131,9 +146,16 @@ def ml_gbt(spark, root):
     return _measured(M.confusion(_predicted(item_terms(spark, root, 1), "fold0", 0, boosted)))
 
 
-def _fit(spark, root, model):
-    rows = M.with_class_weight(vote_features(spark, root)).withColumn("fold", M.fold_of("item_id", "label", 0)).persist()
-    return _measured(M.confusion(model.fit(rows.where("fold > 0")).transform(rows.where("fold = 0"))))
+MIN_NEGATIVES = 10
+
+
+def _fit(rows, model):
+    """Measures on the held-out fold; none where fewer than ``MIN_NEGATIVES`` negatives are there to learn from."""
+    rows = cut_lineage(M.with_class_weight(rows).withColumn("fold", M.fold_of("item_id", "label", 0)))
+    train, test = rows.where("fold > 0"), rows.where("fold = 0")
+    if train.where("label = 0").count() < MIN_NEGATIVES:
+        return _measured(M.confusion(test.limit(0).withColumn("prediction", F.lit(0.0)))).limit(0)
+    return _measured(M.confusion(model.fit(train).transform(test)))
 
 
 @query("ml_aggregator")
@@ -141,7 +163,7 @@ def ml_aggregator(spark, root):
     """A trained aggregation of the judges' votes, judged on the held-out fold."""
     from pyspark.ml.classification import GBTClassifier
 
-    return _fit(spark, root, GBTClassifier(weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.1, seed=7))
+    return _fit(vote_features(spark, root), GBTClassifier(weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.1, seed=7))
 
 
 REPEATS, FOLDS = 5, 5

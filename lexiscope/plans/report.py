@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lexiscope.functions import lexicon as L
 from lexiscope.functions import stats as S
 from lexiscope.functions import text as T
+from lexiscope.operators import skew
 from lexiscope.plans.registry import query
-from lexiscope.plans.texts import BUNDLE_SQL, CODE, K, KEY, KIND, LEXICON_SQL, LIBRARY_SQL, VENDORED_SQL, bot_sql, code, kind, occ
+from lexiscope.plans.texts import BUNDLE_SQL, CODE, K, KEY, KIND, LEXICON_SQL, LIBRARY_SQL, VENDORED_SQL, bot_sql, code, kind, normal_sql, occ
 from lexiscope.sources.tables import load
 
 BODY_SQL = "lower(regexp_replace(body_text, '^\\s+|\\s+$', '', 'g'))"
@@ -158,7 +159,9 @@ def most_per_repo(spark, root):
 @query("snk_threshold_split", f"SELECT {', '.join('o.' + k for k in KEY)} FROM occurrences o JOIN (SELECT repo_full_name FROM (SELECT repo_full_name, {KIND} AS k, count(*) AS n FROM occurrences GROUP BY 1, 2) GROUP BY 1 HAVING max(n) >= 3) m USING (repo_full_name)")
 def snk_threshold_split(spark, root):
     """Records of repositories with three or more of one kind."""
-    return occ(spark, root).select(*KEY).join(most_per_repo(spark, root).where("most >= 3"), "repo_full_name", "left_semi")
+    facts = occ(spark, root).select(*KEY)
+    kept = most_per_repo(spark, root).where("most >= 3").select("repo_full_name", F.lit(1).alias("hit"))
+    return skew.joined_evenly(facts, kept, "repo_full_name", ["artifact_id"]).where("hit = 1").select(*KEY)
 
 
 @query("agg_summary_survey", """WITH e AS (SELECT max(created_at) AS e FROM occurrences), w AS (SELECT unnest([12, 24, 1200]) AS months)
@@ -214,8 +217,20 @@ SELECT {', '.join('o.' + k for k in KEY)} FROM occurrences o WHERE NOT ({KIND} =
 def agg_cluster_filter(spark, root):
     """Records without code comments whose text stands in three or more repositories."""
     big = clusters(spark, root).where("repos >= 3").select("h")
-    rows = occ(spark, root).withColumn("h", F.when(kind() == "code_comment", F.sha2(body_(), 256)))
-    return rows.join(big, "h", "left_anti").select(*KEY)
+    is_code = F.coalesce(kind() == "code_comment", F.lit(False))
+    # other records have nothing to compare: they do not go through the join, where all of them would meet in one task
+    rows = occ(spark, root).where(is_code).select(*KEY, F.sha2(body_(), 256).alias("h"))
+    return rows.join(big, "h", "left_anti").select(*KEY).unionByName(occ(spark, root).where(~is_code).select(*KEY))
+
+
+@query("agg_cluster_removed", f"""WITH c AS (SELECT body, repos FROM {CLUSTERS}), r AS (SELECT coalesce(c.repos, 1) >= 3 AS is_clustered, o.is_censored FROM occurrences o LEFT JOIN c ON c.body = {BODY_SQL.replace('body_text', 'o.body_text')} WHERE {KIND.replace('artifact_type', 'o.artifact_type')} = 'code_comment')
+SELECT is_clustered, count(*) AS n, count(*) FILTER (WHERE is_censored = 0) AS removed, count(*) FILTER (WHERE is_censored = 0) / count(*)::DOUBLE AS removal_rate FROM r GROUP BY 1""")
+def agg_cluster_removed(spark, root):
+    """Removal rate of code comments whose text stands in three or more repositories, and of the others."""
+    big = clusters(spark, root).where("repos >= 3").select("h", F.lit(True).alias("big"))
+    per = occ(spark, root).where(kind() == "code_comment").groupBy(F.sha2(body_(), 256).alias("h")).agg(rows_().alias("n"), F.count_if(F.col("is_censored") == 0).alias("removed"))
+    out = per.join(big, "h", "left").groupBy(F.coalesce("big", F.lit(False)).alias("is_clustered")).agg(F.sum("n").alias("n"), F.sum("removed").alias("removed"))
+    return out.withColumn("removal_rate", S.ratio(F.col("removed"), F.col("n")))
 
 
 @query("agg_context_copies", f"WITH c AS (SELECT {BODY_SQL} AS body, count(DISTINCT repo_full_name) AS copies FROM occurrences GROUP BY 1) SELECT {K}, copies FROM occurrences o JOIN c ON c.body = {BODY_SQL}")
@@ -291,6 +306,35 @@ def agg_bot_removed(spark, root):
     return bots.groupBy(F.lower(F.coalesce("author_login", "author_name")).alias("identity")).agg(rows_().alias("n"))
 
 
+SPAN_SQL = "CAST(floor((epoch_us({b}) - epoch_us({a})) / 86400000000e0) AS BIGINT)"
+
+
+@query("agg_release_counters", f"""WITH c AS (SELECT max(greatest(created_at, coalesce(removed_at, created_at))) AS cutoff FROM {CODE}), t AS (SELECT {BODY_SQL} AS body, count(DISTINCT repo_full_name) AS copies FROM {CODE} GROUP BY 1),
+r AS (SELECT o.*, c.cutoff, t.copies, contains({normal_sql('o.body_text')}, ' ' || trim(regexp_replace(lower(o.matched_expression), '[^a-z0-9]+', ' ', 'g'), ' ') || ' ') AS seen FROM {CODE} o CROSS JOIN c JOIN t ON t.body = {BODY_SQL.replace('body_text', 'o.body_text')})
+SELECT count(*) AS source_rows, count(*) FILTER (WHERE seen) AS output_rows, count(*) FILTER (WHERE NOT seen) AS without_visible_expression, count(DISTINCT repo_full_name) AS repositories, count(DISTINCT primary_language) AS languages,
+ count(DISTINCT lower(trim(matched_expression))) AS expressions, count(*) FILTER (WHERE length(body_text) >= 2000) AS at_2000_chars, count(*) FILTER (WHERE contains(body_text, chr(10))) AS with_line_breaks, count(*) FILTER (WHERE NOT contains(body_text, chr(10))) AS without_line_breaks,
+ count(*) FILTER (WHERE copies > 1) AS in_several_repositories, count(*) FILTER (WHERE is_censored = 1 AND time_to_event_days <> {SPAN_SQL.format(a='created_at', b='cutoff')}) AS censored_to_recompute,
+ count(*) FILTER (WHERE is_censored = 1 AND removed_at IS NOT NULL) AS censored_but_removed, count(*) FILTER (WHERE is_censored = 0 AND removed_at IS NULL) AS observed_without_removal, count(*) FILTER (WHERE removed_at < created_at) AS removed_before_creation,
+ count(*) FILTER (WHERE is_censored = 0 AND time_to_event_days <> {SPAN_SQL.format(a='created_at', b='removed_at')}) AS observed_days_differ, count(*) FILTER (WHERE created_at IS NULL) AS undated FROM r""")
+def agg_release_counters(spark, root):
+    """The counters of a release of code comments, and the checks of their lifetimes; the cut-off is the last date of the data."""
+    rows = code(spark, root)
+    cutoff = F.lit(rows.agg(F.max(F.unix_micros(F.greatest("created_at", F.coalesce("removed_at", "created_at"))))).first()[0])
+    h = F.sha2(body_(), 256)
+    copies = rows.select(h.alias("h"), "repo_full_name").distinct().groupBy("h").agg(rows_().alias("copies"))
+    needle = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("matched_expression"), "[^a-z0-9]+", " ")), F.lit(" "))
+    span = lambda a, b: F.floor((b - F.unix_micros(a)) / 86_400_000_000)
+    r = rows.withColumn("h", h).join(copies, "h").withColumn("seen", T.lines_normal("body_text").contains(needle))
+    held, breaks, days = F.col("is_censored") == 1, F.col("body_text").contains("\n"), F.col("time_to_event_days")
+    return r.agg(
+        rows_().alias("source_rows"), F.count_if("seen").alias("output_rows"), F.count_if(~F.col("seen")).alias("without_visible_expression"), F.count_distinct("repo_full_name").alias("repositories"), F.count_distinct("primary_language").alias("languages"),
+        F.count_distinct(F.lower(F.trim("matched_expression"))).alias("expressions"), F.count_if(F.length("body_text") >= 2000).alias("at_2000_chars"), F.count_if(breaks).alias("with_line_breaks"), F.count_if(~breaks).alias("without_line_breaks"),
+        F.count_if(F.col("copies") > 1).alias("in_several_repositories"), F.count_if(held & (days != span("created_at", cutoff))).alias("censored_to_recompute"),
+        F.count_if(held & F.col("removed_at").isNotNull()).alias("censored_but_removed"), F.count_if((F.col("is_censored") == 0) & F.col("removed_at").isNull()).alias("observed_without_removal"), F.count_if(F.col("removed_at") < F.col("created_at")).alias("removed_before_creation"),
+        F.count_if((F.col("is_censored") == 0) & (days != span("created_at", F.unix_micros("removed_at")))).alias("observed_days_differ"), F.count_if(F.col("created_at").isNull()).alias("undated"),
+    )
+
+
 @query("agg_release_stats", f"""SELECT count(*) AS n, count(DISTINCT repo_full_name) AS repos, count(*) FILTER (WHERE is_censored = 0) AS removed, count(*) FILTER (WHERE length(body_text) >= 2000) AS at_limit, count(DISTINCT body_text) AS contexts,
  count(*) FILTER (WHERE created_at IS NULL) AS undated, count(*) FILTER (WHERE primary_language IS NULL) AS no_language FROM occurrences WHERE {KIND} = 'code_comment'""")
 def agg_release_stats(spark, root):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiscope.functions import lexicon as L
 from lexiscope.functions import text as T
 from lexiscope.operators import events as E
+from lexiscope.operators import skew
 from lexiscope.plans.registry import query
-from lexiscope.plans.texts import CODE, DAYS_SQL, K, KEY, KIND, code, kind, normal_sql, occ
+from lexiscope.plans.texts import CODE, DAYS_SQL, K, KEY, KIND, LEXICON_SQL, code, kind, normal_sql, occ
 from lexiscope.sources import files
 from lexiscope.sources.tables import load
 
@@ -100,14 +102,25 @@ def src_cap_fallback(spark, root):
     return n.withColumn("is_capped", F.col("n") >= 1000)
 
 
+#: fixed values: the structural patterns as a line search knows them
+ADJ = "ugly|janky|hacky|messy|dirty|crude|brittle|fragile|sloppy|kludgy|kludge|hackish|gross|nasty|clunky|jury-rigged"
+GREP = {
+    "but_works": f"({ADJ}).{{0,25}}but.{{0,40}}works",
+    "concessive_works": "(although|though|despite|in spite of).{0,60}works",
+    "but_passes_tests": "but.{0,25}pass(es|ed|ing)?.{0,20}(tests|ci|suite|build)",
+    "concessive_passes_tests": "(although|though|despite).{0,50}pass(es|ed|ing)?.{0,20}(tests|ci|suite|build)",
+}
+
+
 @query("src_git_grep", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-SELECT doc_id, i AS line_no, array_to_string(ls[greatest(i - 1, 1):least(i + 1, len(ls))], chr(10)) AS context FROM l WHERE regexp_matches(ls[i], '(?i)(although|though|despite|in spite of).{0,60}works')""")
+SELECT p.pattern, doc_id, i AS line_no, array_to_string(ls[greatest(i - 1, 1):least(i + 1, len(ls))], chr(10)) AS context FROM l, (VALUES """ + ", ".join(f"('{n}', '(?i){rx}')" for n, rx in GREP.items()) + """) AS p(pattern, rx) WHERE regexp_matches(ls[i], p.rx)""")
 def src_git_grep(spark, root):
-    """Lines that match a pattern, with one line on either side."""
+    """Lines that match a structural pattern, with one line on either side; a row per pattern and line."""
     ls = F.split("text", "\n")
-    lines = load(spark, root, "documents").select("doc_id", ls.alias("ls"), F.posexplode(ls).alias("p", "line")).where(F.col("line").rlike("(?i)(although|though|despite|in spite of).{0,60}works"))
+    hit = F.array_compact(F.array(*[F.when(F.col("line").rlike(f"(?i){rx}"), F.lit(n)) for n, rx in GREP.items()]))
+    lines = load(spark, root, "documents").select("doc_id", ls.alias("ls"), F.posexplode(ls).alias("p", "line")).withColumn("pattern", F.explode(hit))
     lo = F.greatest(F.col("p"), F.lit(1))
-    return lines.select("doc_id", (F.col("p") + 1).alias("line_no"), F.array_join(F.slice("ls", lo, F.least(F.col("p") + 2, F.size("ls")) - lo + 1), "\n").alias("context"))
+    return lines.select("pattern", "doc_id", (F.col("p") + 1).alias("line_no"), F.array_join(F.slice("ls", lo, F.least(F.col("p") + 2, F.size("ls")) - lo + 1), "\n").alias("context"))
 
 
 @query("src_jsonl", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -140,6 +153,13 @@ def src_git_log(spark, root):
     return fn_diff_parse(spark, root).where(T.has_phrase("text", "temporary fix"))
 
 
+@query("src_git_log_phrases", f"SELECT repo_full_name, artifact_id, path, sign, line_no, expression FROM {DIFF_SQL} d JOIN {LEXICON_SQL} ON contains({normal_sql('text')}, needle)")
+def src_git_log_phrases(spark, root):
+    """Changed lines with every phrase of the lexicon that they hold."""
+    held = F.array_compact(F.array(*[F.when(T.has_phrase("text", p), F.lit(p)) for p, *_ in L.ENTRIES]))
+    return fn_diff_parse(spark, root).select("repo_full_name", "artifact_id", "path", "sign", "line_no", F.explode(held).alias("expression"))
+
+
 SIGNED = "(SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'view', 'signup') THEN '+' ELSE '-' END AS sign FROM events)"
 
 
@@ -253,7 +273,9 @@ CI = "(SELECT lower(repo_full_name) AS low, max(stars) AS stars FROM repos GROUP
 def join_lookup_ci(spark, root):
     """Lookup without regard to case; unmatched rows are dropped, ``join_lookup_unmatched`` counts them."""
     low = repos(spark, root).groupBy(F.lower("repo_full_name").alias("low")).agg(F.max("stars").alias("stars"))
-    return occ(spark, root).select(*KEY, F.lower("repo_full_name").alias("low")).join(low, "low").drop("low")
+    facts = occ(spark, root).select(*KEY, F.lower("repo_full_name").alias("low"))
+    found = skew.joined_evenly(facts, low.withColumn("hit", F.lit(1)), "low", ["artifact_id"])
+    return found.where("hit = 1").select(*KEY, "stars")
 
 
 @query("join_lookup_unmatched", f"SELECT repo_full_name, count(*) AS n FROM occurrences o WHERE NOT EXISTS (SELECT 1 FROM {CI} r WHERE r.low = lower(o.repo_full_name)) GROUP BY 1")
@@ -280,8 +302,14 @@ def join_one_to_one(spark, root):
     return both.agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("n"), ok.alias("is_one_to_one"))
 
 
-query("join_semi", f"SELECT {K} FROM occurrences o WHERE EXISTS (SELECT 1 FROM repos r WHERE r.repo_full_name = o.repo_full_name)")(lambda spark, root: occ(spark, root).select(*KEY).join(repos(spark, root).select("repo_full_name"), "repo_full_name", "left_semi"))
-query("join_anti", f"SELECT {K} FROM occurrences o WHERE NOT EXISTS (SELECT 1 FROM repos r WHERE r.repo_full_name = o.repo_full_name)")(lambda spark, root: occ(spark, root).select(*KEY).join(repos(spark, root).select("repo_full_name"), "repo_full_name", "left_anti"))
+def known(spark, root):
+    """Records with hit = 1 where their repository has a row; a large repository is cut into shards, its row goes to each."""
+    side = repos(spark, root).select("repo_full_name").distinct().withColumn("hit", F.lit(1))
+    return skew.joined_evenly(occ(spark, root).select(*KEY), side, "repo_full_name", ["artifact_id"])
+
+
+query("join_semi", f"SELECT {K} FROM occurrences o WHERE EXISTS (SELECT 1 FROM repos r WHERE r.repo_full_name = o.repo_full_name)")(lambda spark, root: known(spark, root).where("hit = 1").select(*KEY))
+query("join_anti", f"SELECT {K} FROM occurrences o WHERE NOT EXISTS (SELECT 1 FROM repos r WHERE r.repo_full_name = o.repo_full_name)")(lambda spark, root: known(spark, root).where("hit IS NULL").select(*KEY))
 
 
 @query("join_diff_backup", "SELECT 'only_records' AS side, repo_full_name FROM (SELECT DISTINCT repo_full_name FROM occurrences EXCEPT SELECT repo_full_name FROM repos) UNION ALL SELECT 'only_repos', repo_full_name FROM (SELECT DISTINCT repo_full_name FROM repos EXCEPT SELECT repo_full_name FROM occurrences)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions import lexicon as L
 from lexiscope.functions import text as T
+from lexiscope.functions import windows as W
 from lexiscope.plans.registry import query
 from lexiscope.sources.tables import load
 
@@ -241,17 +242,18 @@ def fn_slots(spark, root):
     return occ(spark, root).select(*KEY, T.slots("body_text").alias("s")).select(*KEY, "s.*")
 
 
-@query("fn_literal_pattern", f"SELECT {K}, " + ", ".join(f"regexp_matches(body_text, '(?i)\\b{p}\\b') AS {n}" for n, p in [("kludge", "kludge"), ("stopgap_fix", "stopgap fix"), ("temp_fix", "temp fix")]) + " FROM occurrences")
+LITERAL = [(p, p.replace(" ", "_")) for p in W.LITERALS]
+
+
+@query("fn_literal_pattern", f"SELECT {K}, " + ", ".join(f"regexp_matches(body_text, '(?i)\\b{p}\\b') AS {n}" for p, n in LITERAL) + " FROM occurrences")
 def fn_literal_pattern(spark, root):
-    return occ(spark, root).select(*KEY, *[F.col("body_text").rlike(rf"(?i)\b{p}\b").alias(n) for n, p in [("kludge", "kludge"), ("stopgap_fix", "stopgap fix"), ("temp_fix", "temp fix")]])
+    return occ(spark, root).select(*KEY, *[F.col("body_text").rlike(rf"(?i)\b{p}\b").alias(n) for p, n in LITERAL])
 
 
 @query("fn_find_matches")
 def fn_find_matches(spark, root):
-    """Windows of 30 characters around each match of the structural pattern, overlapping ones too, by position."""
-    from lexiscope.functions.windows import find_matches
-
-    return occ(spark, root).select(*KEY, F.posexplode(find_matches("body_text"))).withColumnsRenamed({"pos": "n", "col": "window"})
+    """Windows of 30 characters around each match of each pattern, overlapping ones too, by pattern and position."""
+    return occ(spark, root).select(*KEY, F.inline(W.find_matches("body_text")))
 
 
 @query("fn_artifact_split", f"""
@@ -414,14 +416,22 @@ def fn_visible(spark, root):
     return occ(spark, root).select(*KEY, (T.lines_normal("body_text").contains(wanted) | plain).alias("is_visible"))
 
 
-@query("fn_label_json", "SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN 'accept' WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 1 THEN 'reject' ELSE 'unsure' END AS label FROM events")
+#: replies as judges write them: form and, for each word, the label it must give; the words are fixed values
+REPLIES = [
+    '{"label": "@"}', '```json\\n{"label": "@", "rationale": "it says so"}\\n```', '```\\n{"rationale": "x", "label": "@"}\\n```', '  {"label": " @ "}\\n',
+    '{"label": "@"', 'The label is @.', '{"verdict": "@"}', '{"label": 1}', '```json\\n{"label": "@",}\\n```', '',
+]
+READABLE = 4
+LABEL_WORDS = {"accept": "UBW-verdadeiro", "Accept": "UBW-verdadeiro", "reject": "não-UBW", "REJECT": "não-UBW", "unsure": "incerto", "ubw-verdadeiro": "UBW-verdadeiro", "não-UBW": "não-UBW", "perhaps": "incerto"}
+
+
+@query("fn_label_json", f"""WITH k AS (SELECT event_id, CAST(event_id % {len(REPLIES)} AS INTEGER) AS form, CAST(event_id // {len(REPLIES)} % {len(LABEL_WORDS)} AS INTEGER) AS word FROM events)
+SELECT event_id, CASE WHEN form < {READABLE} THEN [{', '.join("'" + v + "'" for v in LABEL_WORDS.values())}][word + 1] ELSE 'incerto' END AS label FROM k""")
 def fn_label_json(spark, root):
-    """A label out of JSON that may be fenced or broken: unknown and unreadable ones become 'unsure'."""
-    word = F.element_at(F.array(F.lit("accept"), F.lit("reject"), F.lit("maybe")), (F.get_json_object("props", "$.k").cast("bigint") % 3 + 1).cast("int"))
-    raw = F.concat(F.lit("```json\n{\"label\": \""), word, F.lit("\"}\n```"))
-    bare = F.regexp_replace(F.regexp_replace(raw, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    parsed = F.from_json(bare, "label string")["label"]
-    return load(spark, root, "events").select("event_id", F.when(parsed.isin("accept", "reject"), parsed).otherwise("unsure").alias("label"))
+    """The label of replies that are plain, fenced, padded, broken, empty or without a label, in English or canonical words."""
+    form = F.element_at(F.array(*[F.lit(r.replace("\\n", "\n")) for r in REPLIES]), (F.col("event_id") % len(REPLIES) + 1).cast("int"))
+    word = F.element_at(F.array(*map(F.lit, LABEL_WORDS)), (F.floor(F.col("event_id") / len(REPLIES)) % len(LABEL_WORDS) + 1).cast("int"))
+    return load(spark, root, "events").select("event_id", T.reply_label(F.replace(form, F.lit("@"), word)).alias("label"))
 
 
 @query("fn_slug", "SELECT DISTINCT matched_expression, regexp_replace(regexp_replace(lower(matched_expression), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM occurrences")

@@ -14,7 +14,7 @@ def create(app: str = "lexiscope", master: str | None = None, **conf: str) -> Sp
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false"}
+    base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     for key, value in (base | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

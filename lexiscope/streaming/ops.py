@@ -79,7 +79,7 @@ def run_compacting(stream: DataFrame, key: list[str], order: list[str], target:
     """Keep the last row per key of a log: every batch is merged with the table so far and written as a new version.
 
     ``target`` holds folders v=0, v=1, ...; the number of the last one is returned, None if there was nothing to read.
-    A repeated batch writes its own version again.
+    A repeated batch writes its own version again from the one before; versions older than that are removed.
     """
     versions: list[int] = []
 
@@ -92,6 +92,8 @@ def run_compacting(stream: DataFrame, key: list[str], order: list[str], target:
         last = both.groupBy(*key).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("r"))
         last.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).write.mode("overwrite").parquet(f"{target}/v={number}")
         versions.append(number)
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     ensure_checkpoint_dir(stream.sparkSession)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

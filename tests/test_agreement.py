@@ -53,3 +53,13 @@ def test_constant_errors_have_no_correlation(spark):
 def test_finite_sample(spark):
     got = [r[0] for r in spark.createDataFrame([(5000,), (784,)], "n bigint").select(S.finite_sample(385.0, F.col("n"))).collect()]
     assert got == [385, 259]
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    """The interval of resampled shares against the binomial's, and the same on every run."""
+    from lexiscope.plans.agreement import resampled
+
+    judges = spark.createDataFrame([("a", 40, 30), ("b", 1, 1), ("c", 12000, 6000)], "rater string, alerts bigint, right bigint")
+    got = {r.rater: (r.low, r.high) for r in resampled(judges, 400).collect()}
+    assert abs(got["a"][0] - 0.6) <= 0.05 and abs(got["a"][1] - 0.875) <= 0.05 and got["b"] == (1.0, 1.0) and abs(got["c"][0] - 0.491) < 0.004
+    assert got == {r.rater: (r.low, r.high) for r in resampled(judges, 400).collect()}

@@ -51,3 +51,13 @@ def test_vectors_are_the_tfidf_of_the_training_texts(spark):
 def test_pairs_of_words(spark):
     rows = spark.createDataFrame([("One two, three",), ("one",), ("",), ("a b",)], "t string").select(M.tokens("t").alias("x")).collect()
     assert [r.x for r in rows] == [["one", "two", "three", "one two", "two three"], ["one"], [], []]
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    v = spark.createDataFrame([(i, [r.random() for _ in range(6)]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    once = sorted(map(tuple, M.nearest(v, v, 3).collect()))
+    monkeypatch.setattr(M, "MAX_QUERIES", 17)
+    assert sorted(map(tuple, M.nearest(v, v, 3).collect())) == once
