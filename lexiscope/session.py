@@ -45,21 +45,22 @@ def _shared_path(spark: SparkSession, key: str) -> str:
     return f"{base.rstrip('/')}/lexiscope-kept/{key}"
 
 
-def remembered_table(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+def remembered_table(spark: SparkSession, key: str, make: Callable[[], DataFrame], anew: bool = False) -> DataFrame:
     """The table that ``make`` returns, written once per ``key`` to the shared folder and read from there.
 
-    The key must tell all that the table depends on. A table is complete when its success mark is there.
+    The key must tell all that the table depends on. A table is complete when its success mark is there. ``anew`` makes it
+    in any case, for the query whose own work it is; others then read what that one left.
     """
     path = _shared_path(spark, key)
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+    if anew or not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def remembered(spark: SparkSession, key: str, make: Callable[[], bytes]) -> bytes:
+def remembered(spark: SparkSession, key: str, make: Callable[[], bytes], anew: bool = False) -> bytes:
     """What ``make`` returns, made once per ``key`` and kept in the shared folder, so that several queries share a fitted model."""
-    return bytes(remembered_table(spark, key, lambda: spark.createDataFrame([(bytearray(make()),)], "blob binary").coalesce(1)).first().blob)
+    return bytes(remembered_table(spark, key, lambda: spark.createDataFrame([(bytearray(make()),)], "blob binary").coalesce(1), anew).first().blob)
 
 
 def fingerprint(df: DataFrame) -> str:
