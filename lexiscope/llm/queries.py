@@ -45,7 +45,7 @@ def p9_fill(spark, root):
 
 @query("p10_found")
 def p10_found(spark, root):
-    return repetition.rejected(repetition.stored_ledger(load(spark, root, "documents"))).select("doc_id")
+    return repetition.rejected(repetition.stored_ledger(load(spark, root, "documents"), anew=True)).select("doc_id")
 
 
 @query("p10_ledger")
@@ -82,7 +82,7 @@ def p1_hand_written(spark, root):
 
 @query("p3_found")
 def p3_found(spark, root):
-    cut = truncation.detect(load(spark, root, "occurrences")).where("is_cut")
+    cut = truncation.detect(load(spark, root, "occurrences"), anew=True).where("is_cut")
     return cut.select("repo_full_name", "artifact_type", "artifact_id", "matched_expression").distinct()
 
 
@@ -172,7 +172,7 @@ RECORD = ["repo_full_name", "artifact_type", "artifact_id", "matched_expression"
 @query("p6_found")
 def p6_found(spark, root):
     occurrences = load(spark, root, "occurrences")
-    return pii.found_types(occurrences, pii.fit(occurrences), RECORD)
+    return pii.found_types(occurrences, pii.fit(occurrences, anew=True), RECORD)
 
 
 @query("p6_masked")

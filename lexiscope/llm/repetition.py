@@ -121,12 +121,12 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("mask", mask)
 
 
-def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ledger of these documents, measured by the first call and read by all others."""
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anew: bool = False) -> DataFrame:
+    """The ledger of these documents, measured by the first call and by those with ``anew``, read by all others."""
     own = docs.select(id_col, text_col)
     code = Path(__file__).read_bytes() if Path(__file__).exists() else b""  # rules and thresholds are in the code; from an archive it is that of the application
     key = hashlib.sha256(repr((fingerprint(own), RULES, WINDOW, GAP)).encode() + code).hexdigest()[:32]
-    return remembered_table(docs.sparkSession, f"ledger-{key}", lambda: ledger(own, id_col, text_col))
+    return remembered_table(docs.sparkSession, f"ledger-{key}", lambda: ledger(own, id_col, text_col), anew)
 
 
 def policy_mask(policy: tuple[str, int], without: str | None = None) -> int:
