@@ -1,11 +1,7 @@
-"""Problem 6: personal data inside free text, found by a character-level BiLSTM-CRF and replaced by typed placeholders.
+"""Problem 6: personal data inside free text, found by a BiLSTM-CRF over pieces of characters and replaced by typed placeholders.
 
-Windows. The tagger reads every stretch of a text around signs that personal data cannot do without: an @ or a spelled-out
-one, six digits or spelled-out digits in a row, four digits in a word of capitals, a number beside a capitalised word, two capitalised words with at most two
-short ones between. These signs are character classes; they name no type and reject nothing by form. Their recall is tested
-on the generated values. Stretches carry ``CONTEXT`` characters on either side; one above ``MAX_WINDOW`` characters is cut
-into overlapping windows. All windows of a batch are decoded together, equal ones once; where windows overlap, a character
-takes the label from the window in which it lies farthest from an edge.
+Windows. The tagger reads every character of every text, by windows of at most ``MAX_WINDOW`` characters that overlap by
+``OVERLAP``. All windows of a batch are decoded together, equal ones once; where two overlap, each decides up to the middle.
 
 Decision. What the tagger decodes is what is found. Afterwards a span is only widened to the end of the word it stops in,
 and pieces of one type with nothing but one blank or joint between them become one span. No pattern, word list or form
@@ -45,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.tagger import Tagger, encode_chars, pad
+from lexiscope.llm.tagger import Tagger, encode_pieces, pad
 from lexiscope.session import fingerprint, remembered
 
 TYPES = ["email", "phone", "id_number", "street_address", "person_name"]
@@ -58,58 +54,23 @@ ROUND_STEPS = (500, 450, 850)
 #: log-odds a character by which label O is favoured where something was found, and disfavoured where nothing was, for a window to be learnt from
 SURE = (0.3, 0.8)
 COMMON = 8
-CONTEXT = 32
-MAX_WINDOW = 160
+TRAIN_WINDOW = 200
+MAX_WINDOW = 480
 OVERLAP = 80
 BATCH_WINDOWS = 256
 
 UP = "A-ZÀ-ÖØ-ÞĀĆĘŁŃŚŹŻŠŽČ"
 #: fixed values: how English spells digits
 DIGIT_WORDS = "zero oh one two three four five six seven eight nine".split()
-SIGNS = [
-    re.compile(r"(?i)@|[\[({<] ?(?:at|a) ?[\])}>]|(?<=\w)[ \n]at[ \n](?=[\w-]+(?:\.\w|[ \n][\[(]?dot))|(?<=\w)_at_(?=\w)"),
-    re.compile(r"\d(?:[A-Za-z]?[ \n().+/\-]{0,3}\d){5,}"),
-    re.compile(rf"(?i)(?:\b(?:{'|'.join(DIGIT_WORDS)}|double)\b[ -]*){{5,}}"),
-    # what must not stand before a sign is asked after its first character, so that a search goes by that character
-    re.compile(rf"\d(?<!\w.)\d{{0,4}}[A-Za-z]?,?[ \n](?:[a-zß-ÿ'’]{{1,9}}[ \n]){{0,3}}(?:[a-z]['’])?[{UP}][\w'’]+"),
-    re.compile(rf"[{UP}][\w'’ß-]{{2,}}[.,]?[ \n](?:nº |n[.ºo°]* ?|#)?\d{{1,5}}\b"),
-    re.compile(rf"[{UP}](?<![\w`/].)[\w'’-]*[.,]?[ \n](?:(?:[a-z]{{1,4}}|[{UP}]\.)[ \n]){{0,2}}(?:[a-z]{{1,2}}[-'’])?[{UP}][\w'’-]+"),
-    re.compile(r"[A-Z0-9](?<!\w.)[A-Z]*(?:\d[A-Z]*){4}[A-Z0-9]*"),
-]
-
-
-AT_SIGNS = ("@", " at ", "\nat ", " at\n", "\nat\n", "(at", "[at", "{at", "<at", "( at", "[ at", "(a)", "[a]", "(a ", "[a ", "( a", "[ a", "{a", "<a", "{ a", "< a", "_at_", "{ at", "< at")
-
-
-def _signs(text: str) -> Iterator[re.Pattern]:
-    """The signs that a text may hold: those that need an at or five words for digits are left out where a plain search finds none."""
-    low = text.lower()
-    if any(x in low for x in AT_SIGNS):
-        yield SIGNS[0]
-    yield SIGNS[1]
-    if sum(low.count(w) for w in DIGIT_WORDS) >= 4:
-        yield SIGNS[2]
-    yield from SIGNS[3:]
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged stretches of the text to read, with context."""
-    out: list[list[int]] = []
-    for at, to in sorted(m.span() for rx in _signs(text) for m in rx.finditer(text)):
-        s, e = max(0, at - CONTEXT), min(len(text), to + CONTEXT)
-        while 0 < s and s > at - 2 * CONTEXT and not text[s - 1].isspace():
-            s -= 1
-        while e < len(text) and e < to + 2 * CONTEXT and not text[e].isspace():
-            e += 1
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    """What of a text is read: all of it."""
+    return [(0, len(text))] if text else []
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Stretches cut into overlapping windows of at most ``MAX_WINDOW`` characters."""
+    """Overlapping windows of at most ``MAX_WINDOW`` characters over the whole text."""
     out = []
     for s, e in stretches(text):
         while e - s > MAX_WINDOW:
@@ -394,16 +355,33 @@ def _labels(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
 
 
 def _cut(text: str, spans: list[tuple[int, int, str]], r: random.Random) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The windows of a text with the spans in them, moved by chance, so that a place in the window tells nothing."""
+    """The text in windows of ``TRAIN_WINDOW`` characters, from a place of chance on if it is longer, with the spans in them."""
     out = []
-    for s, e in windows_of(text):
-        s = max(0, s + r.randint(-24, 24))
-        e = min(len(text), e + r.randint(-24, 24), s + MAX_WINDOW)
-        if e > s:
+    for s in range(-r.randrange(TRAIN_WINDOW) if len(text) > TRAIN_WINDOW else 0, len(text), TRAIN_WINDOW):
+        s, e = max(0, s), min(len(text), s + TRAIN_WINDOW)
+        if text[s:e].strip():
             out.append((text[s:e], [(max(a, s) - s, min(b, e) - s, k) for a, b, k in spans if a < e and b > s]))
     return out
 
 
+def _of_pieces(y: np.ndarray, bodies: np.ndarray) -> np.ndarray:
+    return y[np.minimum(bodies, len(y) - 1)]
+
+
+def _of_chars(n: int, path: np.ndarray, starts: np.ndarray, bodies: np.ndarray) -> np.ndarray:
+    """Labels of characters from those of pieces; a blank before a piece belongs to it only inside a span."""
+    out = np.zeros(n, np.int32)
+    ends = np.append(starts[1:], n)
+    for k in np.flatnonzero(path):
+        label = int(path[k])
+        if label % 2:
+            out[bodies[k] : ends[k]] = label + 1
+            out[bodies[k]] = label
+        else:
+            out[starts[k] : ends[k]] = label
+    return out
+
+
 def train(rows: list[tuple[str | None, str | None, str | None, str | None]], steps: tuple[int, ...] = ROUND_STEPS, inserted: int = INSERTED) -> Tagger:
     """Fit on ``rows`` (author_name, author_email, matched_expression, body_text); without texts, on invented sentences."""
     r = random.Random(17)
@@ -412,7 +390,7 @@ def train(rows: list[tuple[str | None, str | None, str | None, str | None]], ste
     names = {" ".join(n) for n in w.names}
     own = [(text, known_names(text, w), phrase) for *_, phrase, text in rows if text] + [(a, [(0, len(a), "person_name")] if a in names else [], None) for a, *_ in rows if a and r.random() < 0.3]
     loose = [(*x, phrase, k) for k, (text, spans, phrase) in enumerate(own) for x in _cut(text, spans, r)]
-    loose_codes = [encode_chars(t) for t, *_ in loose]
+    loose_codes = encode_pieces([t for t, *_ in loose])
     told = [_labels(len(t), s) for t, s, *_ in loose]
     phrases = [[m.span() for m in re.finditer(re.escape(p.strip()).replace(r"\ ", r"\s+"), t, re.I)] if p and p.strip() else [] for t, _, p, _ in loose]
     invented = [" ".join(_invented(r) for _ in range(30)) + "." for _ in range(max(0, 200 - len(bodies)))]
@@ -423,12 +401,13 @@ def train(rows: list[tuple[str | None, str | None, str | None, str | None]], ste
         free = [t for k, (t, *_) in enumerate(own[: len(bodies)]) if k not in held] + invented
         sure = [x for text, spans in generated(inserted, free or bodies, w, 5 + turn) for x in _cut(text, spans, r)]
         shown = r.sample(learnt, min(len(learnt), int(share * len(sure))))
-        tagger.fit([encode_chars(t) for t, _ in sure] + [c for c, _ in shown], [_labels(len(t), s) for t, s in sure] + [y for _, y in shown], n, sum(steps))
+        pieces = encode_pieces([t for t, _ in sure])
+        tagger.fit([c for c, *_ in pieces] + [c for c, _ in shown], [_of_pieces(_labels(len(t), s), b) for (t, s), (_, _, b) in zip(sure, pieces)] + [y for _, y in shown], n, sum(steps))
         if turn < len(steps) - 1:
-            kept, wide = _decode_all(tagger, loose_codes, SURE[0]), _decode_all(tagger, loose_codes, -SURE[1])
+            kept, wide = _decode_all(tagger, [t for t, *_ in loose], loose_codes, (SURE[0], -SURE[1]))
             for labels in (kept, wide):
                 _correct([t for t, *_ in loose], labels, told, phrases, names | set(w.mails))
-            learnt = [(c, k) for c, k, x in zip(loose_codes, kept, wide) if k.any() or not x.any()]
+            learnt = [(c, _of_pieces(k, b)) for (c, _, b), k, x in zip(loose_codes, kept, wide) if k.any() or not x.any()]
             held = {k for (*_, k), x in zip(loose, wide) if x.any()}
     return tagger
 
@@ -452,17 +431,22 @@ def _correct(texts: list[str], labels: list[np.ndarray], told: list[np.ndarray],
         y[:] = np.where(told_y > 0, told_y, y)
 
 
-def _decode_all(tagger: Tagger, codes: list[np.ndarray], against: float = 0.0) -> list[np.ndarray]:
-    """Labels of each window; ``against`` is added to the score of label O."""
-    out: list = [None] * len(codes)
-    bias = np.zeros(len(LABELS), np.float32)
-    bias[0] = against
-    order = sorted(range(len(codes)), key=lambda k: len(codes[k]))
+def _decode_all(tagger: Tagger, texts: list[str], pieces: list[tuple], against: tuple[float, ...] = ()) -> list[list[np.ndarray]]:
+    """Labels of each text's characters; for each number of ``against`` once, which is added to the score of label O."""
+    out: list[list] = [[None] * len(texts) for _ in against or (0,)]
+    order = sorted(range(len(texts)), key=lambda k: len(pieces[k][0]))
     for lo in range(0, len(order), BATCH_WINDOWS):
         part = order[lo : lo + BATCH_WINDOWS]
-        path = tagger.decode(pad([codes[k] for k in part]), bias)
-        for j, k in enumerate(part):
-            out[k] = path[: len(codes[k]), j].astype(np.int32)
+        codes = pad([pieces[k][0] for k in part])
+        if against:
+            e = tagger.emissions(codes)
+            paths = [tagger.paths(codes, e + np.eye(1, len(LABELS), dtype=np.float32)[0] * np.float32(b)) for b in against]
+        else:
+            paths = [tagger.decode(codes)]
+        for path, labels in zip(paths, out):
+            for j, k in enumerate(part):
+                own, starts, bodies = pieces[k]
+                labels[k] = _of_chars(len(texts[k]), path[: len(own), j], starts, bodies)
     return out
 
 
@@ -504,25 +488,22 @@ def _spans(text: str, own: dict[int, tuple[int, int]]) -> list[tuple[int, int, s
 
 def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Reconciled spans of each text, in order, without overlap."""
-    where: dict[str, list[tuple[int, int]]] = {}
+    where: dict[str, list[tuple[int, int, int, int]]] = {}
     for i, t in enumerate(texts):
-        if t:
-            for s, e in windows_of(t):
-                where.setdefault(t[s:e], []).append((i, s))
+        windows = windows_of(t) if t else []
+        for k, (s, e) in enumerate(windows):
+            lo, hi = s + OVERLAP // 2 if k else s, e - OVERLAP // 2 if k < len(windows) - 1 else e
+            where.setdefault(t[s:e], []).append((i, s, lo, hi))
     keys = list(where)
-    labels: dict[int, dict[int, tuple[int, int]]] = {}
-    for key, tags in zip(keys, _decode_all(tagger, [encode_chars(k) for k in keys])):
-        n = len(key)
-        cut = n == MAX_WINDOW  # windows that another overlaps vote with every label, the others with what they found
-        for at in range(n) if cut else np.flatnonzero(tags).tolist():
-            depth = min(at, n - 1 - at)
-            for i, s in where[key]:
-                own = labels.setdefault(i, {})
-                if s + at not in own or own[s + at][0] < depth:
-                    own[s + at] = (depth, int(tags[at]))
+    found: dict[int, dict[int, tuple[int, int]]] = {}
+    for key, tags in zip(keys, _decode_all(tagger, keys, encode_pieces(keys))[0]):
+        at = np.flatnonzero(tags)
+        if len(at):
+            for i, s, lo, hi in where[key]:
+                found.setdefault(i, {}).update((s + k, (0, int(tags[k]))) for k in at.tolist() if lo <= s + k < hi)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i, own in labels.items():
-        out[i] = _spans(texts[i], {at: v for at, v in own.items() if v[1]})
+    for i, own in found.items():
+        out[i] = _spans(texts[i], own)
     return out
 
 
