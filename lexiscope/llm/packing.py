@@ -7,8 +7,8 @@ Every text is an item of n tokens. A container has three capacities:
 * attention cost, the sum of the squared piece lengths: ``ATTENTION_SHARE`` of the squared token capacity. A piece that is
   above that alone opens a container whose attention capacity is the whole square, as it must go somewhere.
 
-An item goes to an open container with room in every dimension; of the ``LOOK`` such containers with the least room for
-tokens, the one whose weighted squared residuals (tokens, documents, attention) are smallest after placement takes it. Only
+An item goes to an open container with room in every dimension; of all such containers, the one whose weighted squared
+residuals (tokens, documents, attention) are smallest after placement takes it, of equal ones that with the least room. Only
 a text above the token capacity is cut, into full pieces and a rest. Null and empty texts are items of 0 tokens. An empty
 table gives an empty result. Kinds of container without a positive capacity hold nothing and give no rows.
 
@@ -21,7 +21,6 @@ capacity leave room in any order): its containers stand as they are.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,8 @@ DISSOLVE_BELOW = 0.98
 WORTH = 0.3
 TOKENS_PER_DOC = 32
 ATTENTION_SHARE = 0.6
-LOOK = 12
+#: containers compared at first; more only where they can still be better
+FIRST = 32
 WEIGHTS = (1.0, 0.05, 0.05)
 PLACED = "container_kind string, capacity_tokens int, container_id string, doc_id bigint, piece int, start_token int, n_tokens int, loose boolean"
 
@@ -51,44 +51,56 @@ def limits(capacity: int) -> tuple[int, float]:
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int | None = None, max_cost: float | None = None) -> np.ndarray:
     """Container number of each item; ``sizes`` is sorted from long to short and has no item above ``capacity``.
 
-    Open containers are kept in order of their room for tokens, so that a search starts at the tightest that fits. A
-    container that can take nothing more, by the smallest item, is closed.
+    Open containers are kept in order of their room for tokens. The score of the first few that fit bounds how much room the
+    best can have, as the residual of tokens alone is above it beyond; all up to there are compared. A container that can
+    take nothing more, by the smallest item, is closed.
     """
     own_docs, own_cost = limits(capacity)
     docs_cap, cost_cap = max_docs or own_docs, own_cost if max_cost is None else max_cost
     n = len(sizes)
     where = np.empty(n, dtype=np.int64)
-    rooms: list[tuple[int, int]] = []  # (room for tokens, container), sorted
-    docs: list[int] = []
-    cost: list[float] = []
+    # open containers by (room, number): room for tokens, number, documents and attention cost left
+    rooms, number, docs, cost = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64), np.empty(n + 1, np.int64), np.empty(n + 1)
+    n_open = n_made = 0
     smallest = int(sizes[-1]) if n else 0
     w_tokens, w_docs, w_cost = WEIGHTS
+
+    def scores(lo: int, hi: int, s: int, square: float) -> np.ndarray:
+        left = cost[lo:hi] - square
+        out = w_tokens * ((rooms[lo:hi] - s) / capacity) ** 2 + w_docs * ((docs[lo:hi] - 1) / docs_cap) ** 2 + w_cost * (left / cost_cap) ** 2
+        out[left < 0] = math.inf
+        return out
+
     for i, s in enumerate(map(int, sizes)):
         square = float(s) * s
-        best, best_score, seen = -1, math.inf, 0
-        for at in range(bisect_left(rooms, (s, -1)), len(rooms)):
-            room, k = rooms[at]
-            if cost[k] < square:
-                continue
-            score = w_tokens * ((room - s) / capacity) ** 2 + w_docs * ((docs[k] - 1) / docs_cap) ** 2 + w_cost * ((cost[k] - square) / cost_cap) ** 2
-            if score < best_score:
-                best, best_score = at, score
-            seen += 1
-            if seen == LOOK:
-                break
+        best, best_score = -1, math.inf
+        lo, step = int(rooms[:n_open].searchsorted(s)), FIRST
+        while lo < n_open and w_tokens * ((rooms[lo] - s) / capacity) ** 2 < best_score:
+            hi = min(n_open, lo + step)
+            own = scores(lo, hi, s, square)
+            at = int(own.argmin())
+            if own[at] < best_score:
+                best, best_score = lo + at, float(own[at])
+            lo, step = hi, 4 * step
         if best >= 0:
-            room, k = rooms.pop(best)
+            room, k, docs_left, cost_left = int(rooms[best]), int(number[best]), int(docs[best]), float(cost[best])
         else:
-            room, k = capacity, len(docs)
-            docs.append(docs_cap)
             # a piece above the limit alone leaves what the squared capacity has beside it
-            cost.append(cost_cap if square <= cost_cap else float(capacity) ** 2)
+            best, room, k, docs_left, cost_left = n_open, capacity, n_made, docs_cap, cost_cap if square <= cost_cap else float(capacity) ** 2
+            n_made, n_open = n_made + 1, n_open + 1
         where[i] = k
-        room -= s
-        docs[k] -= 1
-        cost[k] -= square
-        if room >= smallest and docs[k] >= 1 and cost[k] >= smallest * smallest:
-            insort(rooms, (room, k))
+        room, docs_left, cost_left = room - s, docs_left - 1, cost_left - square
+        if room >= smallest and docs_left >= 1 and cost_left >= smallest * smallest:
+            # its room is less than before: it moves toward the front
+            at = int(rooms[:best].searchsorted(room))
+            at += int(number[at : at + int(rooms[at:best].searchsorted(room, "right"))].searchsorted(k))
+            for column, value in ((rooms, room), (number, k), (docs, docs_left), (cost, cost_left)):
+                column[at + 1 : best + 1] = column[at:best]
+                column[at] = value
+        else:
+            for column in (rooms, number, docs, cost):
+                column[best : n_open - 1] = column[best + 1 : n_open]
+            n_open -= 1
     return where
 
 
