@@ -6,8 +6,8 @@ row (it was renamed) and when a record's address names another repository than t
 connected components of these links, found by alternating large-star and small-star steps; a name never meets all others
 of its class in one task. A fork keeps its own address and is another repository.
 
-Assignment, min-cost flow on bundles. Components of one size class and one label profile (quarters of its rows by type of
-record) are a bundle; the ``LARGEST`` largest components are bundles of their own, as each of them matters. Flow goes from
+Assignment, min-cost flow on bundles. Components with the same number of rows of every type of record are a bundle: they
+can stand for each other, so the plan holds exactly. Flow goes from
 bundles to splits. A split's quota is its share of all rows, and of the rows of every type; the cost is convex, the squared
 deviation of rows from quota plus ``LABEL_WEIGHT`` times that of every type. Fractionally the optimum sends the share of
 every bundle to each split; it is rounded down. The components left over are unit flows, largest first, each along its
@@ -30,10 +30,8 @@ from lexiscope.session import cut_lineage
 
 MAX_ROUNDS = 60
 MAX_SPLITS = 1000
-LARGEST = 512
-EXACT_SIZES, CLASS_RATIO = 32, 1.1
 LABEL_WEIGHT = 0.25
-LOOK = 256
+BLOCK = 512
 SLICES, SLICE_COMPONENTS = 64, 50_000
 #: types of record by which label profiles are told; all others are the last
 TYPES = ["code_comment", "commit_message", "issue_body", "pr_body", "other_type"]
@@ -126,7 +124,7 @@ class Flow:
         # deviation of each split by dimension: got less wanted
         self.dev = self.x.T @ self.v - share[:, None] * (self.n @ self.v)
         left = np.repeat(np.arange(len(self.n)), self.n - self.x.sum(1))
-        self.by_size = np.argsort(-self.v[:, 0], kind="stable")[:LOOK]
+        self.by_size = np.argsort(-self.v[:, 0], kind="stable")
         for b in left[np.argsort(-self.v[left, 0], kind="stable")]:
             self._augment(int(b))
         while self._cancel():
@@ -183,29 +181,27 @@ class Flow:
                 if k < j or not len(back):
                     continue
                 here = self._move_costs(back, k, j)
-                a, c = (m if len(m) <= 2 * LOOK else np.argpartition(s, 2 * LOOK)[: 2 * LOOK] for m, s in ((np.arange(len(out)), there), (np.arange(len(back)), here)))
-                pair = there[a][:, None] + here[c][None, :] - 4 * (self.v[out[a]] * self.w) @ self.v[back[c]].T
-                p, q = np.unravel_index(int(pair.argmin()), pair.shape)
-                if pair[p, q] < least:
-                    least, found = float(pair[p, q]), [(int(out[a[p]]), j, k), (int(back[c[q]]), k, j)]
+                cross = 4 * self.v[back] * self.w
+                for lo in range(0, len(out), BLOCK):  # every pair, a block at a time
+                    pair = there[lo : lo + BLOCK, None] + here[None, :] - self.v[out[lo : lo + BLOCK]] @ cross.T
+                    p, q = np.unravel_index(int(pair.argmin()), pair.shape)
+                    if pair[p, q] < least:
+                        least, found = float(pair[p, q]), [(int(out[lo + p]), j, k), (int(back[q]), k, j)]
         for move in found or []:
             self._apply(*move)
         return found is not None
 
 
 def bundled(comps: DataFrame) -> DataFrame:
-    """``comps`` with its bundle. Their number is bounded: ``LARGEST`` plus size classes times profiles."""
-    top = comps.select("n_rows").orderBy(F.desc("n_rows")).limit(LARGEST).agg(F.min("n_rows")).first()[0] or 0
-    size = F.when(F.col("n_rows") <= EXACT_SIZES, F.col("n_rows")).otherwise(EXACT_SIZES + F.floor(F.log(F.col("n_rows") / EXACT_SIZES) / F.log(F.lit(CLASS_RATIO))))
-    quarters = [F.round(4 * F.col(t) / F.col("n_rows")).cast("int") for t in TYPES]
-    of_class = F.concat_ws("-", F.lit("class"), size.cast("string"), *quarters)
-    return comps.withColumn("bundle", F.when(F.col("n_rows") > top, F.concat(F.lit("own-"), F.col("repository"))).otherwise(of_class))
+    """``comps`` with its bundle: the rows of each type, so that all components of a bundle are alike."""
+    return comps.withColumn("bundle", F.concat_ws("-", *[F.col(t).cast("string") for t in TYPES]))
 
 
 def assign(occurrences: DataFrame, repos: DataFrame, shares: DataFrame) -> DataFrame:
     """(repository, n_rows, split_name): every repository with its split.
 
-    Only the bundles reach the driver, and the plan goes back as their ranges; both are bounded by classes, not by the data.
+    Only the bundles reach the driver, and the plan goes back as their ranges: a row per different number of rows by type, which
+    grows more slowly than the components, but with them.
     """
     from pyspark.sql import Window
 
