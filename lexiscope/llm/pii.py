@@ -371,8 +371,9 @@ def _of_pieces(y: np.ndarray, bodies: np.ndarray) -> np.ndarray:
 def _of_chars(n: int, path: np.ndarray, starts: np.ndarray, bodies: np.ndarray) -> np.ndarray:
     """Labels of characters from those of pieces; a blank before a piece belongs to it only inside a span."""
     out = np.zeros(n, np.int32)
-    ends = np.append(starts[1:], n)
-    for k in np.flatnonzero(path):
+    some = np.flatnonzero(path)
+    ends = np.append(starts[1:], n) if len(some) else starts
+    for k in some:
         label = int(path[k])
         if label % 2:
             out[bodies[k] : ends[k]] = label + 1
