@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions import stats as S
 from lexiscope.operators import learning as M
+from lexiscope.operators.boosting import Boosted
 from lexiscope.plans.agreement import ERR, JUDGE_NAMES, errors, gold, items, votes
 from lexiscope.plans.registry import query
 from lexiscope.session import cut_lineage
@@ -114,9 +115,7 @@ def logistic(n):
 
 
 def boosted(n, trees=200):
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    return Boosted(trees, depth=3, rate=0.1, rows_share=0.8, columns_share=0.8, seed=42)
 
 
 def _predicted(rows, fold, of, model):
