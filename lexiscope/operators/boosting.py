@@ -27,37 +27,60 @@ WAIT = 600
 PENALTY, LEAST_WEIGHT, LEAST_GAIN = 1.0, 1.0, 1e-6
 
 
-def best_splits(g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], columns: dict, allowed: np.ndarray) -> list[tuple[float, int, int] | None]:
-    """For each node the gain, column and place of the best split: the entries of the column up to the place go right."""
-    row, start, last, of = columns["row"], columns["start"], columns["last"], columns["column"]
-    some = allowed[of[last]]
-    at = last[some]
-    base, own, out = start[of[at]], of[at], []
+def best_splits(g: np.ndarray, h: np.ndarray, node: np.ndarray, nodes: list[int], columns: dict, allowed: np.ndarray, known: dict | None = None) -> list[tuple[float, int, int] | None]:
+    """For each node the gain, column and place of the best split: the entries of the column up to the place go right.
+
+    ``known`` keeps what a tree's levels share: a node's sums are those of the node above it without those of its sibling.
+    """
+    known, both, out = {} if known is None else known, g + 1j * h, []
+
+    def sums(k: int, at: np.ndarray, base: np.ndarray) -> np.ndarray:
+        c = np.zeros(len(known["row"]) + 1, complex)
+        np.cumsum(np.where(node == k, both, 0)[known["row"]], out=c[1:])
+        right = c[at + 1]
+        right -= c[base]
+        return right
+
+    if "places" not in known:
+        of = columns["column"]
+        entries = np.flatnonzero(allowed[of])
+        known["row"], sizes = columns["row"][entries], np.diff(columns["start"], append=len(of)) * allowed
+        at = np.flatnonzero(columns["ends"][entries])
+        base = (np.cumsum(sizes) - sizes)[of[entries[at]]]
+        # a split that leaves too little at the root does so everywhere
+        if nodes == [1]:
+            right = sums(1, at, base)
+            some = (right.imag >= LEAST_WEIGHT) & (h.sum() - right.imag >= LEAST_WEIGHT - 1e-6)
+            at, base, known[1] = at[some], base[some], right[some]
+        known["places"] = at, base, entries[at]
+    at, base, entry = known["places"]
+    for k in sorted(nodes, reverse=True):
+        if k not in known:
+            known[k] = known[k // 2] - known[k + 1] if k % 2 == 0 and k + 1 in known and k // 2 in known else sums(k, at, base)
     for k in nodes:
-        here = node == k
-        gk, hk = np.where(here, g, 0.0), np.where(here, h, 0.0)
-        total_g, total_h = gk.sum(), hk.sum()
-        right = []
-        for x in (gk, hk):
-            c = np.zeros(len(row) + 1)
-            np.cumsum(x[row], out=c[1:])
-            right.append(c[at + 1] - c[base])
-        rg, rh = right
-        lg, lh = total_g - rg, total_h - rh
-        gain = rg * rg / (rh + PENALTY) + lg * lg / (lh + PENALTY) - total_g**2 / (total_h + PENALTY)
-        gain[(rh < LEAST_WEIGHT) | (lh < LEAST_WEIGHT)] = 0
-        best = int(gain.argmax()) if len(gain) else -1
-        out.append((round(float(gain[best]), 9), int(own[best]), int(at[best])) if best >= 0 and gain[best] > LEAST_GAIN else None)
+        total = both[node == k].sum()
+        rg, rh = known[k].real.copy(), known[k].imag.copy()
+        lg, lh = total.real - rg, total.imag - rh
+        few = np.minimum(rh, lh) < LEAST_WEIGHT
+        for x, weight in ((rg, rh), (lg, lh)):
+            x *= x
+            weight += PENALTY
+            x /= weight
+        rg += lg
+        rg -= total.real**2 / (total.imag + PENALTY)
+        rg[few] = 0
+        best = int(rg.argmax()) if len(rg) else -1
+        out.append((round(float(rg[best]), 9), int(columns["column"][entry[best]]), int(entry[best])) if best >= 0 and rg[best] > LEAST_GAIN else None)
     return out
 
 
 def sorted_columns(row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int) -> dict:
-    """Entries by column, the largest value first; where columns start; the last entry of each value."""
+    """Entries by column, the largest value first; where columns start; whether an entry is the last of its value."""
     by = np.lexsort((row, -value, column))
     row, column, value = row[by].astype(np.int32), column[by].astype(np.int32), value[by]
     ends = np.ones(len(row), bool)
     ends[:-1] = (column[1:] != column[:-1]) | (value[1:] != value[:-1])
-    return {"row": row, "column": column, "value": value, "start": np.searchsorted(column, np.arange(width)), "last": np.flatnonzero(ends)}
+    return {"row": row, "column": column, "value": value, "start": np.searchsorted(column, np.arange(width)), "ends": ends}
 
 
 def grown(label: np.ndarray, weight: np.ndarray, columns: dict, width: int, trees: int, depth: int, rate: float, rows_share: float, columns_share: float, seed: int, gather) -> list[dict]:
@@ -71,9 +94,9 @@ def grown(label: np.ndarray, weight: np.ndarray, columns: dict, width: int, tree
         drawn = weight * (r.random(n) < rows_share)
         p = 0.5 * (1 + np.tanh(margin / 2))
         g, h = drawn * (p - label), drawn * p * (1 - p)
-        node, splits, nodes = np.ones(n, np.int32), {}, [1]
+        node, splits, nodes, known = np.ones(n, np.int32), {}, [1], {}
         for _ in range(depth):
-            mine = best_splits(g, h, node, nodes, columns, allowed)
+            mine = best_splits(g, h, node, nodes, columns, allowed, known)
             all_of = [json.loads(x) for x in gather(json.dumps([s and s[:2] for s in mine]))]
             beyond, split = {}, []
             for j, k in enumerate(nodes):
